@@ -175,14 +175,13 @@ class Codec:
         return self.bytes[at].tobytes().decode("utf-8", "replace")
 
 
-_ready: dict[int, Codec] = {}
+_ready: list = [None, None]  # the broadcast value a Python worker holds, and its codec
 
 
 def _codec(spec) -> Codec:
-    if spec.id not in _ready:
-        _ready.clear()
-        _ready[spec.id] = Codec(*spec.value)
-    return _ready[spec.id]
+    if _ready[0] is not spec.value:
+        _ready[:] = spec.value, Codec(*spec.value)
+    return _ready[1]
 
 
 def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
