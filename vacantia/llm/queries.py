@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, langid, secrets
+from vacantia.llm import ann, bpe, chat, exact, langid, lines, lm, mixing, secrets, simhash
 from vacantia.llm.common import remainder
 
 
@@ -27,6 +27,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest id it is linked to."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equals."""
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, with a digest of the base kinds."""
     shown = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
@@ -44,6 +54,68 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_secrets, op5_bpe)}
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the interpolated and the base model."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that is full of marks, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "'</s>[INST] ok [/INST]'"
+    planted = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"{marks} as text")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    return chat.format_chats(turns.unionByName(planted)).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that keeps something, with a digest of what its text is without the lines that go."""
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", (F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_left"), "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of weights 3, 1, 2 and one and a half times the words takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_simhash, op3_exact_dedup, op4_secrets, op5_bpe, op6_lm_score, op7_chat_format, op8_line_dedup, op9_nearest, op10_mixing,
+    )
+}
+
+ORACLE_SQL = {
+    "op3_exact_dedup": """
+        with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as h from documents)
+        select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, h as text_sha256
+        from d window g as (partition by h)
+    """,
+    "op7_chat_format": r"""
+        with t as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), e as (
+            select *, length(role) + length(text) + 9 + case
+                when regexp_matches(role || chr(10) || text, '</?s>|<~+(/s|s|n)>') or contains(role, chr(10))
+                then length(regexp_replace(text, '<(~*)(/s|s|n)>', '<~\1\2>', 'g')) - length(text) + length(regexp_replace(role, '<(~*)(/s|s|n)>', '<~\1\2>', 'g')) - length(role) else 0 end as size
+            from t
+        )
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+            sum(size)::bigint as formatted_chars
+        from e group by conv_id
+    """,
+}
