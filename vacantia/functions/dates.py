@@ -18,8 +18,8 @@ def posted_at(value: Column) -> Column:
 
 
 def age_days(at: Column, now: Column) -> Column:
-    """Whole days of 24 hours before ``now``, not below 0."""
-    return F.floor(F.greatest(F.lit(0), F.unix_millis(now) - F.unix_millis(at)) / DAY_MS).cast("long")
+    """Whole days of 24 hours before ``now``, not below 0; null for a null date."""
+    return F.when(at.isNotNull(), F.floor(F.greatest(F.lit(0), F.unix_millis(now) - F.unix_millis(at)) / DAY_MS).cast("long"))
 
 
 def _band(age: Column, bands: list[tuple[int | None, int]]) -> Column:

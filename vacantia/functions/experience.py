@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacantia.functions.rules import first_match, let
 from vacantia.functions.text import comparable
 
 # Levels by priority, and the band of each.
@@ -57,8 +58,6 @@ _UNIT = r"(?:years?|yrs?|yoe)\b"
 RANGE = rf"\b(\d+(?:\.\d+)?)\s*\+?\s*(?:-|to|–|—)\s*(\d+(?:\.\d+)?)\s*\+?\s*{_UNIT}"
 LEAST = rf"(?:\b(?:at least|minimum of|minimum|more than|over)\s*)?\b(\d+(?:\.\d+)?)\s*(?:\+|plus)?\s*{_UNIT}"
 
-SIGNAL = "array<struct<rule:string,level:string,confidence:int,source:string>>"
-
 
 def priority(level: Column) -> Column:
     """Place of a level in the order, from 1; 0 for none."""
@@ -74,73 +73,78 @@ def band(level: Column) -> Column:
 
 def field_level(value: Column) -> Column:
     """Level that a platform's seniority field names; null if none."""
-    normal, out = comparable(value), None
-    for level, pattern in FIELD_RULES:
-        out = F.when(normal.rlike(pattern), level) if out is None else out.when(normal.rlike(pattern), level)
-    return out
+    return let(comparable(value), lambda normal: first_match(normal, FIELD_RULES))
 
 
 def signals(value: Column, rules: list[Rule], source: str, confidence: int) -> Column:
-    """A struct for every rule that a text meets."""
-    normal = comparable(value)
-    hit = lambda r: F.when(normal.rlike(r.pattern), F.struct(F.lit(r.name).alias("rule"), F.lit(r.level).alias("level"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source")))
-    return F.array_compact(F.array(*map(hit, rules)))
+    """A struct for every rule that a text meets: confidence, place of the level, level, source, rule."""
+
+    def hits(normal: Column) -> Column:
+        hit = lambda r: F.when(normal.rlike(r.pattern), _signal(F.lit(r.level), LEVELS.index(r.level) + 1, source, confidence, r.name))
+        return F.array_compact(F.array(*map(hit, rules)))
+
+    return let(comparable(value), hits)
+
+
+def _signal(level: Column, place: int | Column, source: str, confidence: int, rule: str) -> Column:
+    at = F.lit(place) if isinstance(place, int) else place
+    return F.struct(F.lit(confidence).alias("confidence"), at.cast("int").alias("priority"), level.alias("level"), F.lit(source).alias("source"), F.lit(rule).alias("rule"))
 
 
 def years_level(value: Column) -> Column:
     """Level for the years asked for: of ranges their middle, of minimums the number; the largest counts."""
-    low = F.lower(F.coalesce(value, F.lit("")))
     number = lambda a: F.transform(a, lambda x: x.cast("double"))
-    lows, highs = number(F.regexp_extract_all(low, F.lit(RANGE), F.lit(1))), number(F.regexp_extract_all(low, F.lit(RANGE), F.lit(2)))
-    middles = F.zip_with(lows, highs, lambda a, b: (a + b) / 2)
-    minimums = number(F.regexp_extract_all(F.regexp_replace(low, RANGE, " "), F.lit(LEAST), F.lit(1)))
-    most = F.array_max(F.concat(middles, minimums))
-    return (
-        F.when(most >= 12, "principal").when(most >= 8, "staff").when(most >= 5, "senior").when(most >= 2, "mid").when(most.isNotNull(), "junior")
-    )
+
+    def most(low: Column) -> Column:
+        lows, highs = number(F.regexp_extract_all(low, F.lit(RANGE), F.lit(1))), number(F.regexp_extract_all(low, F.lit(RANGE), F.lit(2)))
+        minimums = number(F.regexp_extract_all(F.regexp_replace(low, RANGE, " "), F.lit(LEAST), F.lit(1)))
+        return F.array_max(F.concat(F.zip_with(lows, highs, lambda a, b: (a + b) / 2), minimums))
+
+    level = lambda n: F.when(n >= 12, "principal").when(n >= 8, "staff").when(n >= 5, "senior").when(n >= 2, "mid").when(n.isNotNull(), "junior")
+    return let(let(F.lower(F.coalesce(value, F.lit(""))), most), level)
 
 
 def years_signal(value: Column, source: str, confidence: int) -> Column:
-    level = years_level(value)
-    one = F.array(F.struct(F.lit("years").alias("rule"), level.alias("level"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source")))
-    return F.when(level.isNotNull(), one).otherwise(F.slice(one, 1, 0))
+    """The years' level as an array of at most one signal."""
+    return let(years_level(value), lambda level: F.filter(F.array(_signal(level, priority(level), source, confidence, "years")), lambda s: s["level"].isNotNull()))
 
 
 def conservative(found: Column) -> Column:
     """The best signal, by confidence, then level; null if another level is as sure and nothing speaks for the best."""
-    order = F.transform(found, lambda s: F.struct(s["confidence"].alias("confidence"), priority(s["level"]).alias("priority"), s["level"].alias("level"), s["source"].alias("source"), s["rule"].alias("rule")))
-    best = F.array_max(order)
-    same_trust = F.filter(order, lambda s: s["confidence"] == best["confidence"])
-    against = F.size(F.filter(same_trust, lambda s: s["level"] != best["level"]))
-    agreeing = F.size(F.filter(same_trust, lambda s: s["level"] == best["level"]))
-    return F.when((F.size(found) > 0) & ~((against > 0) & (agreeing == 1)), best)
 
+    def judged(signals_: Column) -> Column:
+        def against(best: Column) -> Column:
+            peers = F.filter(signals_, lambda s: s["confidence"] == best["confidence"])
+            return let(peers, lambda p: F.when(~(F.exists(p, lambda s: s["level"] != best["level"]) & (F.size(F.filter(p, lambda s: s["level"] == best["level"])) == 1)), best))
+
+        return let(F.array_max(signals_), against)
 
-def best_title(found: Column) -> Column:
-    """The title's signal of the highest level; titles need nothing else to speak for them."""
-    order = F.transform(found, lambda s: F.struct(s["confidence"].alias("confidence"), priority(s["level"]).alias("priority"), s["level"].alias("level"), s["source"].alias("source"), s["rule"].alias("rule")))
-    return F.array_max(order)
+    return let(found, judged)
 
 
 def classify(title: Column, explicit: Column | None = None, hints: Column | None = None, description: Column | None = None, page: Column | None = None) -> Column:
     """Struct of level, explicit, source, confidence, band and rule: explicit field, title, structured hints, description, fetched page."""
-    none = F.lit(None).cast("string")
-    given = field_level(explicit) if explicit is not None else none
-    from_title = best_title(signals(title, TITLE_RULES, "title", 3))
     text_signals = lambda v, source, trust: F.concat(signals(v, DESCRIPTION_RULES, source, trust), years_signal(v, source, trust))
-    ladder = [
-        conservative(signals(hints if hints is not None else none, HINT_RULES, "structured_metadata", 3)),
-        conservative(text_signals(description if description is not None else none, "description", 2)),
-        conservative(text_signals(page if page is not None else none, "page_fetch", 1)),
-    ]
-    found = F.coalesce(from_title, *ladder)
-    level = F.coalesce(given, found["level"])
-    trust = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.coalesce(found["confidence"], F.lit(0)) + 1)
-    return F.struct(
-        level.alias("level"), (given.isNotNull() | from_title.isNotNull()).alias("explicit"),
-        F.when(given.isNotNull(), "structured_metadata").otherwise(F.coalesce(found["source"], F.lit("unknown"))).alias("source"),
-        F.when(given.isNotNull(), "high").otherwise(trust).alias("confidence"), band(level).alias("band"), F.when(given.isNull(), found["rule"]).alias("rule"),
-    )
+    ladder = [F.array_max(signals(title, TITLE_RULES, "title", 3))]  # a title needs nothing else to speak for it
+    if hints is not None:
+        ladder.append(conservative(signals(hints, HINT_RULES, "structured_metadata", 3)))
+    if description is not None:
+        ladder.append(conservative(text_signals(description, "description", 2)))
+    if page is not None:
+        ladder.append(conservative(text_signals(page, "page_fetch", 1)))
+    given = field_level(explicit) if explicit is not None else F.lit(None).cast("string")
+
+    def result(x: Column) -> Column:
+        known, found = x["given"], x["found"]
+        level = F.coalesce(known, found["level"])
+        trust = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.coalesce(found["confidence"], F.lit(0)) + 1)
+        return F.struct(
+            level.alias("level"), F.coalesce(known.isNotNull() | (found["source"] == "title"), F.lit(False)).alias("explicit"),
+            F.when(known.isNotNull(), "structured_metadata").otherwise(F.coalesce(found["source"], F.lit("unknown"))).alias("source"),
+            F.when(known.isNotNull(), "high").otherwise(trust).alias("confidence"), band(level).alias("band"), F.when(known.isNull(), found["rule"]).alias("rule"),
+        )
+
+    return let(F.struct(given.alias("given"), F.coalesce(*ladder).alias("found")), result)
 
 
 def matches(level: Column, explicit: Column, confidence: Column, selected: list[str], mode: str = "balanced", unspecified: bool = False) -> Column:

@@ -17,3 +17,8 @@ def first_match(value: Column, rules: list[tuple[str, str]], otherwise: Column |
 def all_matches(value: Column, rules: list[tuple[str, str]]) -> Column:
     """Labels of every (label, pattern) that occurs in ``value``, in order."""
     return F.array_compact(F.array(*[F.when(value.rlike(pattern), F.lit(label)) for label, pattern in rules]))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), lambda v: use(v)).getItem(0)
