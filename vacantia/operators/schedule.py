@@ -29,7 +29,8 @@ def diverse(rows: DataFrame, platform: str, n: int, pos: str) -> DataFrame:
 
 def quotas(capacities: DataFrame, platform: str, capacity: str, total: int) -> DataFrame:
     """Even shares of ``total`` that no platform's capacity exceeds, one at a time in order of name."""
-    units = capacities.select(platform, F.explode(F.sequence(F.lit(1), F.least(F.col(capacity).cast("int"), F.lit(total)))).alias("unit")).where(F.col("unit") > 0)
+    some = capacities.where(F.col(capacity) > 0)  # a sequence from 1 to 0 would count down
+    units = some.select(platform, F.explode(F.sequence(F.lit(1), F.least(F.col(capacity).cast("int"), F.lit(total)))).alias("unit"))
     dealt = units.orderBy("unit", platform).limit(total)
     given = dealt.groupBy(platform).agg(F.count("*").alias("quota"))
     return capacities.select(platform).join(given, platform, "left").select(platform, F.coalesce("quota", F.lit(0)).cast("long").alias("quota"))
