@@ -354,6 +354,20 @@ def test_signatures_equal_plain_minhash():
     assert (lines.signatures([texts[0] + texts[0]]) != together[0]).any()
 
 
+def test_tiles_connect_what_is_similar():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(200)]
+    base = [[rnd.choice(words) for _ in range(40)] for _ in range(6)]
+    texts = [" ".join([*b[:n], rnd.choice(words), *b[n + 1 :]]) for b in base for n in range(10)]
+    keys, sets, sides = list(range(len(texts))), [lines.shingles(t) for t in texts], [i % 2 for i in range(len(texts))]
+    true = [(a, b) for a in keys for b in keys if a < b and lines.similar(sets[a], sets[b])]
+    half = [[i for i in keys if i % 2 == k] for k in (0, 1)]
+    tiles = lines.similar_links(keys, texts, sides) + [x for h in half for x in lines.similar_links(h, [texts[i] for i in h])]
+    assert set(map(tuple, map(sorted, tiles))) <= set(true) and len(true) > 20
+    assert brute_components(keys, tiles) == brute_components(keys, true) == brute_components(keys, lines.similar_links(keys, texts))
+    assert lines.similar_links([], []) == []
+
+
 def test_lines_are_deduplicated(spark, make):
     rnd = random.Random(7)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(400)]

@@ -118,6 +118,15 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
+def bitmap(of: set[str]) -> int:
+    """One of 2,048 bits for every shingle; only ever compared within a process."""
+    bits = bytearray(256)
+    for s in of:
+        h = hash(s) & 2047
+        bits[h >> 3] |= 1 << (h & 7)
+    return int.from_bytes(bits)
+
+
 def similar(a: set[str], b: set[str]) -> bool:
     """Exact Jaccard similarity of SIMILARITY or more."""
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
@@ -126,22 +135,31 @@ def similar(a: set[str], b: set[str]) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def similar_links(keys: list[int], lines: list[str]) -> list[tuple[int, int]]:
-    """Links that connect all lines of one tile that are similar, each verified."""
-    parent = list(range(len(keys)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def similar_links(keys: list[int], lines: list[str], sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all lines of one tile that are similar, each verified.
 
+    A line meets the members of a component only until one is similar, as the rest could
+    not connect more.  With ``sides``, only lines of different sides are compared.
+    """
     sets, out = [shingles(t) for t in lines], []
-    for i in range(1, len(keys)):
-        for j in range(i):
-            if root(i) != root(j) and similar(sets[i], sets[j]):
-                parent[root(i)] = root(j)
-                out.append((keys[i], keys[j]))
+    maps = [bitmap(s) for s in sets]
+
+    def alike(i: int, j: int) -> bool:
+        a, b = sets[i], sets[j]
+        most = len(a) - (maps[i] & ~maps[j]).bit_count()  # each such bit is a shingle of a alone
+        return most >= SIMILARITY * (len(a) + len(b) - most) and similar(a, b)
+
+    components: list[list[int]] = []
+    for i in range(len(keys)):
+        mine, apart = [i], []
+        for members in components:
+            near = next((j for j in members if (sides is None or sides[j] != sides[i]) and alike(i, j)), None)
+            if near is None:
+                apart.append(members)
+            else:
+                mine = members + mine
+                out.append((keys[i], keys[near]))
+        components = [*apart, mine]
     return out
 
 
@@ -178,24 +196,28 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     tiled = (
         crowd.join(once, "bucket").selectExpr("bucket", "key", f"cast(ceil(n / {TILE}) as int) as t")
         .selectExpr("bucket", "key", "t", "cast(pmod(xxhash64(key), t) as int) as own")
-        .selectExpr("bucket", "key", "explode(transform(sequence(0, t - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))) as tile")
-        .select("bucket", "tile.i", "tile.j", "key")
+        .selectExpr("bucket", "key", "own", "explode(transform(sequence(0, t - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))) as tile")
+        .select("bucket", "tile.i", "tile.j", "own", "key")
     )
     wanted = crowd.select("key").distinct().join(distinct.select("key", "doc_id", "line"), "key")
     texts = persist(with_lines(docs, wanted))
-    rows = tiled.join(texts, "key").select("bucket", "i", "j", "key", "line_text")
+    rows = tiled.join(texts, "key").select("bucket", "i", "j", "own", "key", "line_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, keys, lines = None, [], []
+        tile, keys, lines, sides = None, [], [], []
+
+        def found() -> list[tuple[int, int]]:  # pairs of one side are compared in that side's own tile
+            return similar_links(keys, lines, sides if tile and tile[1] != tile[2] else None)
+
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for bucket, i, j, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, i, j, own, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bucket, i, j) != tile:
-                    out += similar_links(keys, lines)
-                    tile, keys, lines = (bucket, i, j), [], []
-                keys.append(key), lines.append(text)
+                    out += found()
+                    tile, keys, lines, sides = (bucket, i, j), [], [], []
+                keys.append(key), lines.append(text), sides.append(own)
             yield _pairs(out)
-        yield _pairs(similar_links(keys, lines))
+        yield _pairs(found())
 
     order = ["bucket", "i", "j"]
     return rows.repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(run, "a long, b long")
