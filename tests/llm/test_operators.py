@@ -401,6 +401,12 @@ def test_lines_are_deduplicated(spark, make):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_are_deduplicated_too(spark, make):
+    near = "abcdefghijklmnopqrstuvwxyz"
+    docs = make([(1, "And ornd.\n}\n\n" + near), (2, "}\nkept\n\nand  ORND."), (3, near + "z\n \n}\nkept"), (4, "abcdefg"), (5, "abcdefgh"), (6, "}")])
+    assert collected(lines.dedup_lines(docs), "doc_id", "text") == [(1, "And ornd.\n}\n\n" + near), (2, "kept\n"), (4, "abcdefg"), (5, "abcdefgh")]
+
+
 # ---- nearest neighbours
 
 

@@ -1,9 +1,10 @@
 """Fuzzy line dedup by MinHash.
 
-Lines of LEAST characters or more (after lower-casing and collapsing white space) are
-compared by their sets of SHINGLE-character shingles.  One pass over the texts hashes
-every line and computes its MinHash signature; equal lines are merged by a 64-bit key
-before anything else.  Distinct lines meet in BANDS bands of ROWS hashes; bands of one
+All lines but blank ones are compared (after lower-casing and collapsing white space) by
+their sets of SHINGLE-character shingles; a line shorter than SHINGLE is its own one
+shingle, so only an equal line is similar to it and it needs no bands.  One pass over the
+texts hashes every line and computes its MinHash signature; equal lines are merged by a
+64-bit key before anything else.  Distinct lines meet in BANDS bands of ROWS hashes; bands of one
 line are dropped by a spillable window count, and bands that hold the same set of lines
 are looked at once.  Lines that share a band are compared by their true shingle sets; a
 crowded band is cut into tiles of bounded size, and a tile returns enough links to
@@ -13,7 +14,7 @@ rounds.  One line of a component stays: the first by document id, then by positi
 The texts are shuffled only where they have to be: a Bloom filter of fixed size lets
 documents without a wanted line pass straight through.
 
-Defined results: a null text stays null; an empty text stays; shorter lines are never
+Defined results: a null text stays null; an empty text stays; blank lines are never
 touched; repeated rows with one id count as one document; a document all of whose
 content was removed goes in ``dedup_lines`` (those that were blank before stay); other
 columns pass through untouched.
@@ -34,7 +35,7 @@ from vacantia.llm.common import slices
 from vacantia.operators.components import connected_components
 from vacantia.plans.durable import persist
 
-LEAST, SHINGLE, SIMILARITY = 30, 8, 0.8
+SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 4
 TILE = 256
 _draw = np.random.default_rng(8)
@@ -48,7 +49,7 @@ def normal(line: str) -> str:
 
 def eligible(text: str) -> list[tuple[int, str]]:
     """Number and normal form of the lines that are compared."""
-    return [(i, n) for i, line in enumerate(text.split("\n")) if len(line) >= LEAST and len(n := normal(line)) >= LEAST]
+    return [(i, n) for i, line in enumerate(text.split("\n")) if (n := normal(line))]
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ def _signatures(lines: list[str]) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, key, bands`` of every line that is compared."""
+    """``doc_id, line, key, bands`` of every line that is not blank; no bands for one shorter than SHINGLE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -106,8 +107,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
                     for i, line in eligible(text or ""):
                         ids.append(doc), numbers.append(i), texts.append(line)
                 keys = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.uint64).view(np.int64)
-                flat = pa.array(signatures(texts).reshape(-1))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), flat)
+                flat = pa.array(signatures([t for t in texts if len(t) >= SHINGLE]).reshape(-1))
+                ends = np.cumsum([0, *(BANDS if len(t) >= SHINGLE else 0 for t in texts)], dtype=np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), flat)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(keys), bands], ["doc_id", "line", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -115,7 +117,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def bitmap(of: set[str]) -> int:
