@@ -407,6 +407,15 @@ def test_short_lines_are_deduplicated_too(spark, make):
     assert collected(lines.dedup_lines(docs), "doc_id", "text") == [(1, "And ornd.\n}\n\n" + near), (2, "kept\n"), (4, "abcdefg"), (5, "abcdefgh")]
 
 
+def test_rows_of_one_id_or_none_are_told_apart(spark, make):
+    near = "the quick brown fox jumps over the lazy dog and then it sleeps"
+    unique = lambda k: "".join(random.Random(k).choices("abcdefghij", k=60))
+    rows = [(None, unique(1) + "\nsame here"), (None, unique(2) + "\nsame here"), (None, near), (7, unique(3) + "\nalso same"), (7, unique(4) + "\nalso same"), (9, near + "s\n" + unique(5))]
+    got = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(make(rows)).collect()]
+    assert Counter(x for _, t in got for x in t.split("\n")) == Counter([*map(unique, range(1, 6)), "same here", "also same", near])
+    assert sorted(i or 0 for i, _ in got) == [0, 0, 0, 7, 7, 9]
+
+
 # ---- nearest neighbours
 
 

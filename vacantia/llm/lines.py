@@ -11,11 +11,15 @@ crowded band is cut into tiles of bounded size, and a tile returns enough links
 connect what is similar rather than all pairs.  Components come from distributed
 rounds.  One line of a component stays: the first by document id, then by position.
 
+A row is told from others by its id and a 64-bit hash of its text, nulls being equal, so
+rows without an id, or with one id and different texts, are documents of their own.
+
 The texts are shuffled only where they have to be: a Bloom filter of fixed size lets
 documents without a wanted line pass straight through.
 
 Defined results: a null text stays null; an empty text stays; blank lines are never
-touched; repeated rows with one id count as one document; a document all of whose
+touched; repeated rows with one id and one text count as one document; of equal ids the lower hash
+of the text is first; a document all of whose
 content was removed goes in ``dedup_lines`` (those that were blank before stay); other
 columns pass through untouched.
 """
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm import bloom
@@ -96,24 +100,29 @@ def _signatures(lines: list[str]) -> np.ndarray:
     return bands.view(np.int32)
 
 
+def text_hash(docs: DataFrame) -> Column:
+    """What tells rows of one id, or of none, apart."""
+    return F.xxhash64(docs["text"])
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, key, bands`` of every line that is not blank; no bands for one shorter than SHINGLE."""
+    """``doc_id, mark, line, key, bands`` of every line that is not blank; no bands for one shorter than SHINGLE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                ids, numbers, texts = [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, marks, numbers, texts = [], [], [], []
+                for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                     for i, line in eligible(text or ""):
-                        ids.append(doc), numbers.append(i), texts.append(line)
+                        ids.append(doc), marks.append(mark), numbers.append(i), texts.append(line)
                 keys = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.uint64).view(np.int64)
                 flat = pa.array(signatures([t for t in texts if len(t) >= SHINGLE]).reshape(-1))
                 ends = np.cumsum([0, *(BANDS if len(t) >= SHINGLE else 0 for t in texts)], dtype=np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(keys), bands], ["doc_id", "line", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(marks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys), bands], ["doc_id", "mark", "line", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, key long, bands array<int>")
+    return docs.select("doc_id", "text", text_hash(docs).alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, line int, key long, bands array<int>")
 
 
 def shingles(line: str) -> set[str]:
@@ -166,15 +175,15 @@ def similar_links(keys: list[int], lines: list[str], sides: list[int] | None = N
 
 
 def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, line_text`` for rows ``doc_id, line, key`` of ``wanted``: the lines' normal forms.
+    """``key, line_text`` for rows ``doc_id, mark, line, key`` of ``wanted``: the lines' normal forms.
 
     Only documents that may hold a wanted line are shuffled.
     """
-    per_doc = persist(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("lines")))
+    per_doc = persist(wanted.groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark_of")).agg(F.collect_list(F.struct("line", "key")).alias("lines")))
     words = bloom.words_for(per_doc.count())
-    ids = F.xxhash64("doc_id")
-    near = bloom.probe(docs.select("doc_id", "text"), ids, bloom.build(per_doc, ids, words), words, "maybe").where("maybe")
-    met = near.join(per_doc, "doc_id").select("lines", "text")
+    table = bloom.build(per_doc, F.xxhash64("__doc", "__mark_of"), words)
+    near = bloom.probe(docs.select("doc_id", "text", text_hash(docs).alias("mark")), F.xxhash64("doc_id", "mark"), table, words, "maybe").where("maybe")
+    met = near.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark_of"))).select("lines", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +198,7 @@ def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``a, b``: verified links between keys of distinct lines (``key, doc_id, line, bands``)."""
+    """``a, b``: verified links between keys of distinct lines (``key, doc_id, mark, line, bands``)."""
     banded = distinct.select("key", F.posexplode("bands").alias("band", "hash")).selectExpr("key", "shiftleft(cast(band as long), 32) | (hash & 4294967295L) as bucket")
     crowd = persist(banded.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
     # bands that hold the same lines: one is enough
@@ -201,7 +210,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .selectExpr("bucket", "key", "own", "explode(transform(sequence(0, t - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))) as tile")
         .select("bucket", "tile.i", "tile.j", "own", "key")
     )
-    wanted = crowd.select("key").distinct().join(distinct.select("key", "doc_id", "line"), "key")
+    wanted = crowd.select("key").distinct().join(distinct.select("key", "doc_id", "mark", "line"), "key")
     texts = persist(with_lines(docs, wanted))
     rows = tiled.join(texts, "key").select("bucket", "i", "j", "own", "key", "line_text")
 
@@ -230,33 +239,33 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, lines array<int>``: the lines that go, for documents that lose any."""
+    """``doc_id, mark, lines array<int>``: the lines that go, for documents that lose any."""
     rows = persist(line_rows(docs))
-    firsts = F.struct("doc_id", "line")
+    firsts = F.struct("doc_id", "mark", "line")
     distinct = persist(
         rows.groupBy("key").agg(F.min(firsts).alias("first"), F.any_value("bands").alias("bands"), F.count("*").alias("n"))
-        .select("key", "first.doc_id", "first.line", "bands", "n")
+        .select("key", "first.doc_id", "first.mark", "first.line", "bands", "n")
     )
     members = persist(connected_components(links(docs, distinct)).withColumnRenamed("node", "key"))
-    grouped = distinct.select("key", "doc_id", "line", "n").join(members, "key", "left")
-    several = grouped.where("n > 1 or component is not null").select("key", "doc_id", "line", F.coalesce("component", "key").alias("component"))
+    grouped = distinct.select("key", "doc_id", "mark", "line", "n").join(members, "key", "left")
+    several = grouped.where("n > 1 or component is not null").select("key", "doc_id", "mark", "line", F.coalesce("component", "key").alias("component"))
     several = persist(several)
     staying = several.groupBy("component").agg(F.min(firsts).alias("stays"))
     verdict = several.join(staying, "component").select("key", "stays")
     return (
-        rows.select("doc_id", "line", "key").join(verdict, "key").where(~firsts.eqNullSafe(F.col("stays")))
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+        rows.select("doc_id", "mark", "line", "key").join(verdict, "key").where(~firsts.eqNullSafe(F.col("stays")))
+        .groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     )
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without the lines that go, all columns kept; see the module for what stays."""
-    gone = persist(removed_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__lines")))
+    gone = persist(removed_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark_of"), F.col("lines").alias("__lines")))
     words = bloom.words_for(gone.count())
-    table = persist(bloom.build(gone, F.xxhash64("__doc"), words))
-    probed = bloom.probe(docs, F.xxhash64("doc_id"), table, words, "__maybe")
+    table = persist(bloom.build(gone, F.xxhash64("__doc", "__mark_of"), words))
+    probed = bloom.probe(docs.withColumn("__text_hash", text_hash(docs)), F.xxhash64("doc_id", "__text_hash"), table, words, "__maybe")
     clean = probed.where(~F.col("__maybe")).select(docs.columns)
-    met = probed.where("__maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    met = probed.where("__maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__mark_of")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     cut = met.withColumn("__text", text)
