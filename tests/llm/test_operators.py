@@ -93,6 +93,20 @@ def test_language_accuracy_and_awkward_texts(spark, make):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_a_language_of_one_line_harms_no_other(spark):
+    rows = [(i, t, k) for i, t, k in texts_of(spark) if t and any(map(str.isalpha, t))]
+    samples = {"rare": ["zu wele okun batha mi"]}
+    for i, t, k in rows:
+        if i % 2:
+            samples.setdefault(k, []).append(t)
+    model = langid.Model(samples, 20_000)
+    assert model.lengths.min() < 30 and model.lengths.max() == 20_000
+    held = [(t, k) for i, t, k in rows if not i % 2 and k]
+    named = model.predict([t for t, _ in held] + samples["rare"])[0]
+    assert named[-1] == "rare"
+    assert sum(a == k for a, (_, k) in zip(named, held)) > 0.97 * len(held)
+
+
 # ---- SimHash
 
 

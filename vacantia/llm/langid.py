@@ -2,10 +2,11 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text.  A
 text is parsed greedily against each automaton into phrases, every phrase being the
-longest match found anywhere in the sample; c phrases against a sample of length m cost
-c * log2(m) / n bits a symbol over a text of n symbols, and the language with the lowest
-cost wins.  All samples are cut to one length, so no language gains from having more
-labelled text.
+longest match found anywhere in the sample; a phrase names one of the m places of the
+sample or one of w symbols, so c phrases cost c * log2(m + w) / n bits a symbol over a
+text of n symbols, and the language with the lowest cost wins.  Every language keeps its
+own sample, up to ``sample_symbols``; the price of a phrase makes samples of different
+length comparable, so one language with little labelled text takes nothing from others.
 
 Only the fit is bounded (``sample_symbols`` a language, from at most ``sample_docs``
 documents in expectation); prediction parses every whole text.  Texts are parsed in
@@ -105,11 +106,12 @@ class Model:
             if len(stream) < sample_symbols:
                 stream = np.concatenate([stream, *(p[share:] for p in parts)])
             streams.append(stream[:sample_symbols])
-        self.length = min(map(len, streams), default=0)
+        self.lengths = np.array([len(s) for s in streams], dtype=np.int64)
+        self.length = int(self.lengths.max(initial=0))
         tables, base = [], 1  # state 0 means that there is no way on
         self.roots = []
         for stream in streams:
-            machine = SuffixAutomaton(stream[: self.length].tolist())
+            machine = SuffixAutomaton(stream.tolist())
             table = np.zeros((len(machine.next), width), dtype=np.int32)
             for state, ways in enumerate(machine.next):
                 for s, to in ways.items():
@@ -166,24 +168,28 @@ class Model:
         np.add.at(out, owner, counts)
         return out
 
+    def phrase_bits(self) -> np.ndarray:
+        """Bits that a phrase costs against each language."""
+        return np.log2(self.lengths + self.width)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score (how far the second best is behind, 0 to 1), and bits a symbol of the best."""
         parts = self.squeeze([t or "" for t in texts])
         known = [bool(len(p)) and len(self.languages) > 0 for p in parts]
         found = self.phrases([p for p, k in zip(parts, known) if k]) if any(known) else np.zeros((0, 1))
-        bits, row = np.log2(max(2, self.length)), 0
+        bits, row = self.phrase_bits(), 0
         names, scores, costs = [], [], []
         for part, k in zip(parts, known):
             if not k:
                 names.append(UNKNOWN), scores.append(0.0), costs.append(0.0)
                 continue
-            c = found[row]
+            c = found[row] * bits
             row += 1
             best = int(np.argmin(c))
-            second = int(np.partition(c, 1)[1]) if len(c) > 1 else 0
+            second = float(np.partition(c, 1)[1]) if len(c) > 1 else 0.0
             names.append(self.languages[best])
             scores.append(float(1 - c[best] / second) if second else 1.0)
-            costs.append(float(c[best] * bits / len(part)))
+            costs.append(float(c[best] / len(part)))
         return names, scores, costs
 
 
