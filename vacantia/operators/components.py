@@ -3,7 +3,8 @@
 Every round is two keyed minima and two equi-joins, so a node with very many neighbours
 costs one partial aggregate and a join that adaptive execution can split; no
 neighbourhood is ever collected.  The number of rounds grows with the logarithm of the
-number of nodes.
+number of nodes; edges that are stars already need none.  A round's edges are deleted as
+soon as the next round's are written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.plans.durable import persist
+from vacantia.durable import drop, persist
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each child has one parent and no parent is a child, for distinct edges ``u, v``."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    nodes = ends.groupBy("n").agg(F.sum("child").alias("parents"), F.max("parent").alias("parent"))
+    return nodes.where((F.col("parents") > 1) | ((F.col("parents") > 0) & (F.col("parent") > 0))).isEmpty()
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
@@ -26,8 +36,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    seen = None
     for _ in range(rounds):
+        if are_stars(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -40,11 +51,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        e = persist(small)
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        last, e = e, persist(small)
+        drop(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -1,37 +1,3 @@
-"""Cutting lineage through the folder that driver and executors share.
+"""The former place of ``vacantia.durable``."""
 
-A long plan that is reused is written as Parquet to ``spark.checkpoint.dir`` and read
-back: a lost executor then costs only the tasks it was running.  The folder belongs to
-the cluster; where it is unset (local runs and tests) a temporary one is used and
-removed when the process ends.
-"""
-
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="vacantia-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return "file://" + _own[0]
-
-
-def persist(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vacantia-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from vacantia.durable import persist, shared_dir  # noqa: F401

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vacantia.durable import persist
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
@@ -83,8 +85,6 @@ def next_sequences(rows: DataFrame, last: int, *order: Column) -> DataFrame:
     Only one count a partition reaches the driver; no row passes through a single task.
     """
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    from vacantia.plans.durable import persist
-
     laid = persist(laid)
     counts = {r["__part"]: r["count"] for r in laid.groupBy("__part").count().collect()}
     base, at = {}, last
