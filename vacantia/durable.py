@@ -35,11 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def persist(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back."""
+def persist(df: DataFrame, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by ``partition_by``, and return it as read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vacantia-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).parquet(path, partitionBy=partition_by)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[back] = path
     _live.add(path)
