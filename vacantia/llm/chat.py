@@ -63,11 +63,30 @@ def parsed(formatted: Column) -> Column:
     return F.concat(F.transform(closed, turn), F.when(open_end, F.array(none)).otherwise(F.slice(F.array(none), 1, 0)))
 
 
+def _spans(rows: Column) -> Column:
+    """Where the texts of ``rows`` (structs of role, shown_role, shown) stand, by adding up lengths."""
+    ahead = lambda size, r: size(r["shown_role"]) + len(OPEN) + 1
+    whole = lambda size, r: size(rendered(r["shown_role"], r["shown"]))
+
+    def place(done: Column, r: Column) -> Column:
+        start, first = done["end"] + ahead(F.length, r), done["last"] + ahead(F.octet_length, r)
+        span = F.struct(
+            r["role"].alias("role"), start.cast("long").alias("start"), (start + F.length(r["shown"])).cast("long").alias("end"),
+            first.cast("long").alias("first_byte"), (first + F.octet_length(r["shown"])).cast("long").alias("end_byte"),
+        )
+        return F.struct((done["end"] + whole(F.length, r)).alias("end"), (done["last"] + whole(F.octet_length, r)).alias("last"), F.concat(done["spans"], F.array(span)).alias("spans"))
+
+    none = F.array().cast("array<struct<role:string,start:bigint,end:bigint,first_byte:bigint,end_byte:bigint>>")
+    zero = F.lit(0).cast("long")
+    return F.aggregate(rows, F.struct(zero.alias("end"), zero.alias("last"), none.alias("spans")), place)["spans"]
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
-    """``conv_id, formatted, turns array<struct<role, text>>, loss array<struct<start, end>>, exact``.
+    """``conv_id, formatted, turns array<struct<role, text>>, loss array<struct<start, end, first_byte, end_byte>>, exact``.
 
     ``turns`` is what the parser recovers from ``formatted``, ``exact`` whether that is
-    the source, ``loss`` the code-point spans of the assistant's texts in ``formatted``.
+    the source, ``loss`` the spans of the assistant's texts in ``formatted``, by code
+    points and by bytes of UTF-8.
     """
     source = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -80,28 +99,39 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.when(F.col("clean"), F.col("text")).otherwise(escaped(F.col("text"))).alias("shown"),
     )
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    size = F.length(rendered(F.col("shown_role"), F.col("shown"))).cast("long")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    chars, octets = (f(rendered(F.col("shown_role"), F.col("shown"))).cast("long") for f in (F.length, F.octet_length))
     placed = rows.select(
-        "*", F.row_number().over(order).alias("place"),
-        (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("before"),
+        "*", F.row_number().over(order).alias("place"), (F.sum(chars).over(upto) - chars).alias("before"), (F.sum(octets).over(upto) - octets).alias("before_bytes"),
     )
     start = F.col("before") + len(OPEN) + F.length("shown_role") + 1
+    first = F.col("before_bytes") + len(OPEN) + F.octet_length("shown_role") + 1
     grouped = placed.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct(
-            "place", "role", "text", "shown_role", "shown", start.alias("start"), (start + F.length("shown")).alias("end")
+            "place", "role", "text", "shown_role", "shown", start.alias("start"), (start + F.length("shown")).alias("end"),
+            first.alias("first_byte"), (first + F.octet_length("shown")).alias("end_byte"),
         ))).alias("rows")
     )
     all_of = lambda role, text: F.array_join(F.transform("rows", lambda r: rendered(role(r), text(r))), "")
-    first = grouped.select(
+    once = grouped.select(
         "conv_id", "rows", all_of(lambda r: r["shown_role"], lambda r: r["shown"]).alias("formatted"),
         F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("source"),
     ).withColumn("turns", parsed(F.col("formatted")))
     # never needed for what the turns' own round trips have passed; kept as the grammar's last word
     again = F.col("turns") != F.col("source")
-    whole = first.withColumn("formatted", F.when(again, all_of(lambda r: escaped_role(r["role"]), lambda r: escaped(r["text"]))).otherwise(F.col("formatted")))
-    spans = F.transform(F.filter("rows", lambda r: r["role"] == "assistant"), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    anew = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), escaped_role(r["role"]).alias("shown_role"), escaped(r["text"]).alias("shown")))
+    places = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in ("role", "start", "end", "first_byte", "end_byte")]))
+    whole = once.withColumn("formatted", F.when(again, all_of(lambda r: escaped_role(r["role"]), lambda r: escaped(r["text"]))).otherwise(F.col("formatted")))
+    spans = F.filter(F.when(again, _spans(anew)).otherwise(places), lambda r: r["role"] == "assistant")
     return whole.select(
         "conv_id", "formatted",
         F.when(again, parsed(F.col("formatted"))).otherwise(F.col("turns")).alias("turns"),
-        F.when(~again, spans).alias("loss"), "source",
+        F.transform(spans, lambda r: F.struct(*[r[c].alias(c) for c in ("start", "end", "first_byte", "end_byte")])).alias("loss"), "source",
     ).select("conv_id", "formatted", "turns", "loss", (F.col("turns") == F.col("source")).alias("exact"))
+
+
+def under_mask(formatted: Column, loss: Column) -> Column:
+    """All text under the loss mask, unescaped, nothing between; each span is cut out by its bytes."""
+    octets = formatted.cast("binary")
+    cut = lambda s: F.substring(octets, (s["first_byte"] + 1).cast("int"), (s["end_byte"] - s["first_byte"]).cast("int"))
+    return F.array_join(F.transform(loss, lambda s: unescaped(cut(s).cast("string"))), "")

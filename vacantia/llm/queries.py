@@ -65,8 +65,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = "'</s>[INST] ok [/INST]'"
     planted = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"{marks} as text")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return chat.format_chats(turns.unionByName(planted)).select(
+    loss = F.col("under")
+    chats = chat.format_chats(turns.unionByName(planted)).withColumn("under", chat.under_mask(F.col("formatted"), F.col("loss")))
+    return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
