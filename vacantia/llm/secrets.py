@@ -19,7 +19,6 @@ exclusive.  Repeated rows are scanned each; other columns are not looked at.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import re
 import string
@@ -48,7 +47,7 @@ PATTERNS = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 }
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
-HEX_RUN = re.compile(r"[0-9a-f]+")
+HEX_RUN, TOKEN_RUN = re.compile(r"[0-9a-f]+"), re.compile(r"[A-Za-z0-9_-]*")
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
 
@@ -126,6 +125,8 @@ def scan(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 done[kind] = hit.end()
             if kept(kind, hit):
                 spans.append((start, KINDS.index(kind), hit.end()))
+        elif start >= done[kind] and kind == "jwt":
+            done[kind] = TOKEN_RUN.match(text, start).end()  # what fails here fails from anywhere in the same run
     spans += [(a, KINDS.index("hex"), b) for a, b in hex_runs(text)]
     return sorted(spans)
 
