@@ -68,6 +68,9 @@ def read_vocabulary(path: str) -> tuple[list[bytes], list[tuple[int, int, int]],
     return tokens, merges, special
 
 
+LONGEST_REMEMBERED = 64  # characters; bounds the memory of a worker together with the number of words
+
+
 class Codec:
     """Encoder and decoder of one vocabulary. ``remembered``: words whose ids are kept at most."""
 
@@ -143,9 +146,10 @@ class Codec:
 
     def _pack(self, word: str) -> bytes:
         ids = np.array(self.encode_word(word.encode()), dtype="<u4").tobytes()
-        if len(self.words) >= self.remembered:
-            self.words.clear()
-        self.words[word] = ids
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.words) >= self.remembered:
+                self.words.clear()
+            self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
