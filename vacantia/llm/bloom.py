@@ -2,11 +2,14 @@
 
 A hash falls into one 64-bit word of the filter and sets three of its bits.  The table
 ``word, bits`` has at most MOST_WORDS rows of 16 bytes, whatever it was built from, which
-is what makes its broadcast safe.  A probe may raise a false alarm, never miss.
+is what makes its broadcast safe.  A probe may raise a false alarm, never miss.  A single
+filter only spares work and lets more through the fuller it is; where every key has to
+be told, keys are dealt to as many filters as hold them, one after another.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,16 @@ def words_for(n: int) -> int:
     return min(MOST_WORDS, max(64, 1 << (n * BITS_A_KEY // 64).bit_length()))
 
 
+def segments_for(n: int) -> int:
+    """Number of filters of MOST_WORDS that hold ``n`` keys without filling up."""
+    return max(1, -(-n * BITS_A_KEY // (64 * MOST_WORDS)))
+
+
+def segment(key: Column, segments: int) -> Column:
+    """The filter that a key belongs to, from bits that no filter looks at."""
+    return F.pmod(F.shiftrightunsigned(key, 40), F.lit(segments)).cast("int")
+
+
 def _word(key: Column, words: int) -> Column:
     return F.pmod(F.shiftright(key, 18), F.lit(words))
 
@@ -43,3 +56,18 @@ def probe(rows: DataFrame, key: Column, table: DataFrame, words: int, name: str)
     small = F.broadcast(table.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
     met = rows.withColumn("__mask", mask).withColumn("__at", _word(key, words)).join(small, F.col("__at") == F.col("__word"), "left")
     return met.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))).drop("__mask", "__at", "__word", "__bits")
+
+
+def as_array(table: DataFrame, words: int) -> np.ndarray:
+    """The filter as one number a word, on the driver: at most MOST_WORDS of them."""
+    out, found = np.zeros(words, dtype=np.int64), table.select("word", "bits").toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``probe`` for an array of keys."""
+    mask = np.zeros(len(keys), dtype=np.int64)
+    for at in (0, 6, 12):
+        mask |= np.int64(1) << ((keys >> np.int64(at)) & np.int64(63))
+    return table[(keys >> np.int64(18)) & np.int64(len(table) - 1)] & mask == mask

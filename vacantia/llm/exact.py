@@ -7,8 +7,10 @@ Pass 1 puts each hash into a blocked Bloom filter (one 64-bit word a hash, three
 it) and keeps the bits that were hit more than once.  Pass 2 probes those bits: a hash
 with all three set may be repeated, and only such rows are shuffled and grouped; every
 other row is alone and passes straight through.  A false alarm costs one shuffled row
-and changes no result.  The filter has 16 bits a row up to a fixed most, so the
-broadcast has a bound whatever the input; beyond that more rows are shuffled.
+and changes no result.  A filter has 16 bits a row and a fixed size at most, so the
+broadcast has a bound; a larger input has several, each for its own part of the hashes,
+built and probed one after another over the narrow table of ids and hashes, which is
+stored by that part.  So filters never fill up, whatever the input.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest
 ``doc_id`` stays, of repeated rows with that id exactly one; a null id is smaller than
@@ -22,8 +24,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.durable import persist
 from vacantia.llm import bloom
-from vacantia.plans.durable import persist
 
 
 def normalised(text: Column) -> Column:
@@ -31,22 +33,37 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def possibly_repeated(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """``rows`` with a boolean column ``repeated``: false only if no other row has this key."""
-    hashed, words = F.xxhash64(key), bloom.words_for(n)
-    return bloom.probe(rows, hashed, bloom.build(rows, hashed, words, twice=True), words, "repeated")
+def possibly_repeated(rows: DataFrame, hashed: str, n: int) -> DataFrame:
+    """``rows`` with a boolean column ``repeated``: false only if no other row has this 64-bit hash.
+
+    ``rows`` has a column ``segment``: its keys are dealt to ``bloom.segments_for(n)`` filters.
+    """
+    segments, flagged = bloom.segments_for(n), None
+    words = bloom.words_for(-(-n // segments))
+    for s in range(segments):
+        part = rows.where(F.col("segment") == s)
+        part = bloom.probe(part, F.col(hashed), bloom.build(part, F.col(hashed), words, twice=True), words, "repeated")
+        part = part if segments == 1 else persist(part)
+        flagged = part if flagged is None else flagged.unionByName(part)
+    return flagged
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row, dropped ones too."""
-    rows = persist(docs.select(F.col(id_column).alias("doc_id"), F.sha2(normalised(F.col(text_column)).cast("binary"), 256).alias("text_sha256")))
-    flagged = possibly_repeated(rows, "text_sha256", rows.count())
+    sha = F.sha2(normalised(F.col(text_column)).cast("binary"), 256)
+    rows = docs.select(F.col(id_column).alias("doc_id"), sha.alias("text_sha256")).withColumn("hashed", F.xxhash64("text_sha256"))
+    n = docs.count()
+    segments = bloom.segments_for(n)
+    rows = rows.withColumn("segment", bloom.segment(F.col("hashed"), segments))
+    rows = persist(rows, partition_by=["segment"] if segments > 1 else None)
+    flagged = possibly_repeated(rows, "hashed", n)
     alone = flagged.where(~F.col("repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    # hot groups: copies with one id first, then one row a group, both summed before the shuffle
-    ids = flagged.where("repeated").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = ids.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # hot groups: copies with one id first, then one row a group, both summed before the shuffle; as tables
+    # of their own both sides of the join are plain shuffles, which adaptive execution can split
+    ids = persist(flagged.where("repeated").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")))
+    groups = persist(ids.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")))
     shared = (
         ids.join(groups, "text_sha256")
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
