@@ -6,7 +6,8 @@ shingle, so only an equal line is similar to it and it needs no bands.  One pass
 texts hashes every line and computes its MinHash signature; equal lines are merged by a
 64-bit key before anything else.  Distinct lines meet in BANDS bands of ROWS hashes; bands of one
 line are dropped by a spillable window count, and bands that hold the same set of lines
-are looked at once.  Lines that share a band are compared by their true shingle sets; a
+are looked at once.  Lines that share a band are compared by their true shingle sets, a
+pair only in the first band that it shares; a
 crowded band is cut into tiles of bounded size, and a tile returns enough links to
 connect what is similar rather than all pairs.  Components come from distributed
 rounds.  One line of a component stays: the first by document id, then by position.
@@ -14,8 +15,9 @@ rounds.  One line of a component stays: the first by document id, then by positi
 A row is told from others by its id and a 64-bit hash of its text, nulls being equal, so
 rows without an id, or with one id and different texts, are documents of their own.
 
-The texts are shuffled only where they have to be: a Bloom filter of fixed size lets
-documents without a wanted line pass straight through.
+Lines to compare are read from the texts again, so no whole text is shuffled for them;
+at the end a Bloom filter of fixed size lets documents that lose nothing pass straight
+through.  Tables are deleted as soon as the next step has been written.
 
 Defined results: a null text stays null; an empty text stays; blank lines are never
 touched; repeated rows with one id and one text count as one document; of equal ids the lower hash
@@ -34,10 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.durable import drop, persist
 from vacantia.llm import bloom
 from vacantia.llm.common import slices
 from vacantia.operators.components import connected_components
-from vacantia.plans.durable import persist
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 4
@@ -56,6 +58,11 @@ def eligible(text: str) -> list[tuple[int, str]]:
     return [(i, n) for i, line in enumerate(text.split("\n")) if (n := normal(line))]
 
 
+def line_keys(texts: list[str]) -> np.ndarray:
+    """64-bit keys of normal lines."""
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.uint64).view(np.int64)
+
+
 def _spread(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint32(16))
     h *= np.uint32(0x85EBCA6B)
@@ -115,7 +122,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                     for i, line in eligible(text or ""):
                         ids.append(doc), marks.append(mark), numbers.append(i), texts.append(line)
-                keys = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.uint64).view(np.int64)
+                keys = line_keys(texts)
                 flat = pa.array(signatures([t for t in texts if len(t) >= SHINGLE]).reshape(-1))
                 ends = np.cumsum([0, *(BANDS if len(t) >= SHINGLE else 0 for t in texts)], dtype=np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), flat)
@@ -146,25 +153,37 @@ def similar(a: set[str], b: set[str]) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def similar_links(keys: list[int], lines: list[str], sides: list[int] | None = None) -> list[tuple[int, int]]:
+def first_met(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Whether ``band`` is the first in which signatures agree, so that a pair is verified in one bucket only."""
+    return (a[..., band] == b[..., band]) & ~(a[..., :band] == b[..., :band]).any(-1)
+
+
+def similar_links(keys: list[int], lines: list[str], sides: list[int] | None = None, due: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all lines of one tile that are similar, each verified.
 
     A line meets the members of a component only until one is similar, as the rest could
-    not connect more.  With ``sides``, only lines of different sides are compared.
+    not connect more.  With ``sides``, only lines of different sides are compared; with
+    ``due``, only pairs that it marks, as others are compared where they meet first.
     """
-    sets, out = [shingles(t) for t in lines], []
-    maps = [bitmap(s) for s in sets]
+    sets: dict[int, tuple[set[str], int]] = {}
+    out: list[tuple[int, int]] = []
+
+    def of(i: int) -> tuple[set[str], int]:
+        if i not in sets:
+            found = shingles(lines[i])
+            sets[i] = found, bitmap(found)
+        return sets[i]
 
     def alike(i: int, j: int) -> bool:
-        a, b = sets[i], sets[j]
-        most = len(a) - (maps[i] & ~maps[j]).bit_count()  # each such bit is a shingle of a alone
+        (a, bits), (b, others) = of(i), of(j)
+        most = len(a) - (bits & ~others).bit_count()  # each such bit is a shingle of a alone
         return most >= SIMILARITY * (len(a) + len(b) - most) and similar(a, b)
 
     components: list[list[int]] = []
     for i in range(len(keys)):
         mine, apart = [i], []
         for members in components:
-            near = next((j for j in members if (sides is None or sides[j] != sides[i]) and alike(i, j)), None)
+            near = next((j for j in members if (sides is None or sides[j] != sides[i]) and (due is None or due[i, j]) and alike(i, j)), None)
             if near is None:
                 apart.append(members)
             else:
@@ -175,33 +194,37 @@ def similar_links(keys: list[int], lines: list[str], sides: list[int] | None = N
 
 
 def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, line_text`` for rows ``doc_id, mark, line, key`` of ``wanted``: the lines' normal forms.
+    """``key, line_text`` for rows ``mark, line, key`` of ``wanted``: the lines' normal forms.
 
-    Only documents that may hold a wanted line are shuffled.
+    The texts are read again and only the wanted lines leave them, told by a Bloom filter
+    of fixed size; its false alarms are lines that nobody asks for.
     """
-    per_doc = persist(wanted.groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark_of")).agg(F.collect_list(F.struct("line", "key")).alias("lines")))
-    words = bloom.words_for(per_doc.count())
-    table = bloom.build(per_doc, F.xxhash64("__doc", "__mark_of"), words)
-    near = bloom.probe(docs.select("doc_id", "text", text_hash(docs).alias("mark")), F.xxhash64("doc_id", "mark"), table, words, "maybe").where("maybe")
-    met = near.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark_of"))).select("lines", "text")
+    place = F.col("key").bitwiseXOR(F.col("mark")).bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 32))
+    words = bloom.words_for(wanted.count())
+    table = bloom.as_array(bloom.build(wanted.select(place.alias("place")), F.col("place"), words), words)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = [], []
-            for lines, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = (text or "").split("\n")
-                for x in lines:
-                    keys.append(x["key"]), texts.append(normal(parts[x["line"]]) if x["line"] < len(parts) else "")
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["key", "line_text"])
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                marks, numbers, texts = [], [], []
+                for text, mark in zip(*(c.to_pylist() for c in batch.columns)):
+                    for i, line in eligible(text or ""):
+                        if len(line) >= SHINGLE:
+                            marks.append(mark), numbers.append(i), texts.append(line)
+                keys = line_keys(texts)
+                places = keys ^ np.array(marks, dtype=np.int64) ^ (np.array(numbers, dtype=np.int64) << 32)
+                maybe = np.flatnonzero(bloom.holds(shared.value, places))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[maybe]), pa.array([texts[i] for i in maybe], pa.string())], ["key", "line_text"])
 
-    return met.mapInArrow(run, "key long, line_text string").dropDuplicates(["key"])
+    return docs.select("text", text_hash(docs).alias("mark")).mapInArrow(run, "key long, line_text string").dropDuplicates(["key"])
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``a, b``: verified links between keys of distinct lines (``key, doc_id, mark, line, bands``)."""
+    """``a, b``: verified links between keys of distinct lines (``key, mark, line, bands``)."""
     banded = distinct.select("key", F.posexplode("bands").alias("band", "hash")).selectExpr("key", "shiftleft(cast(band as long), 32) | (hash & 4294967295L) as bucket")
     crowd = persist(banded.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
-    # bands that hold the same lines: one is enough
+    # bands that hold the same lines: the first is enough
     sets = crowd.groupBy("bucket").agg(F.first("n").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("mark"), F.min("key").alias("low"), F.max("key").alias("high"))
     once = sets.groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket")
     tiled = (
@@ -210,28 +233,48 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .selectExpr("bucket", "key", "own", "explode(transform(sequence(0, t - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))) as tile")
         .select("bucket", "tile.i", "tile.j", "own", "key")
     )
-    wanted = crowd.select("key").distinct().join(distinct.select("key", "doc_id", "mark", "line"), "key")
-    texts = persist(with_lines(docs, wanted))
-    rows = tiled.join(texts, "key").select("bucket", "i", "j", "own", "key", "line_text")
+    asked = persist(crowd.select("key").distinct().join(distinct.select("key", "mark", "line", "bands"), "key"))
+    texts = persist(with_lines(docs, asked.select("key", "mark", "line")).join(asked.select("key", "bands"), "key"))
+    rows = tiled.join(texts, "key").select("bucket", "i", "j", "own", "key", "bands", "line_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, keys, lines, sides = None, [], [], []
-
-        def found() -> list[tuple[int, int]]:  # pairs of one side are compared in that side's own tile
-            return similar_links(keys, lines, sides if tile and tile[1] != tile[2] else None)
-
+        kept: pa.Table | None = None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for bucket, i, j, own, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, i, j) != tile:
-                    out += found()
-                    tile, keys, lines, sides = (bucket, i, j), [], [], []
-                keys.append(key), lines.append(text), sides.append(own)
-            yield _pairs(out)
-        yield _pairs(found())
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([kept, table]) if kept is not None else table
+            bucket, i, j = (table.column(c).to_numpy() for c in ("bucket", "i", "j"))
+            edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            done = int(edges[-1]) if len(edges) else 0
+            yield _pairs(_tiles(table.slice(0, done), edges[:-1]))
+            kept = table.slice(done)
+        if kept is not None:
+            yield _pairs(_tiles(kept, np.empty(0, dtype=np.int64)))
 
     order = ["bucket", "i", "j"]
-    return rows.repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(run, "a long, b long")
+    found = persist(rows.repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(run, "a long, b long"))
+    drop(crowd, asked, texts)
+    return found
+
+
+def _tiles(table: pa.Table, edges: np.ndarray) -> list[tuple[int, int]]:
+    """Links of whole tiles; a tile begins at each edge."""
+    out: list[tuple[int, int]] = []
+    if not table.num_rows:
+        return out
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    keys, texts, own = table.column("key").to_pylist(), table.column("line_text"), table.column("own").to_pylist()
+    band = (table.column("bucket").to_numpy() >> 32).tolist()
+    across = (table.column("i").to_numpy() != table.column("j").to_numpy()).tolist()
+    starts = [0, *edges.tolist()]
+    for a, z in zip(starts, [*edges.tolist(), len(keys)]):
+        if z - a < 2:
+            continue
+        mine = bands[a:z]
+        due = first_met(mine[:, None], mine[None, :], band[a])
+        np.fill_diagonal(due, False)
+        if due.any():  # in a tile of two sides, pairs of one side are compared in that side's own tile
+            out += similar_links(keys[a:z], texts.slice(a, z - a).to_pylist(), own[a:z] if across[a] else None, due)
+    return out
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -246,30 +289,38 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         rows.groupBy("key").agg(F.min(firsts).alias("first"), F.any_value("bands").alias("bands"), F.count("*").alias("n"))
         .select("key", "first.doc_id", "first.mark", "first.line", "bands", "n")
     )
-    members = persist(connected_components(links(docs, distinct)).withColumnRenamed("node", "key"))
+    found = links(docs, distinct)
+    members = persist(connected_components(found).withColumnRenamed("node", "key"))
+    drop(found)
     grouped = distinct.select("key", "doc_id", "mark", "line", "n").join(members, "key", "left")
-    several = grouped.where("n > 1 or component is not null").select("key", "doc_id", "mark", "line", F.coalesce("component", "key").alias("component"))
-    several = persist(several)
-    staying = several.groupBy("component").agg(F.min(firsts).alias("stays"))
-    verdict = several.join(staying, "component").select("key", "stays")
-    return (
+    several = persist(grouped.where("n > 1 or component is not null").select("key", "doc_id", "mark", "line", F.coalesce("component", "key").alias("component")))
+    drop(distinct, members)
+    # both sides of the next join are plain shuffles, which adaptive execution can split
+    staying = persist(several.groupBy("component").agg(F.min(firsts).alias("stays")))
+    verdict = persist(several.join(staying, "component").select("key", "stays"))
+    drop(several, staying)
+    gone = persist(
         rows.select("doc_id", "mark", "line", "key").join(verdict, "key").where(~firsts.eqNullSafe(F.col("stays")))
         .groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     )
+    drop(rows, verdict)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without the lines that go, all columns kept; see the module for what stays."""
-    gone = persist(removed_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark_of"), F.col("lines").alias("__lines")))
+    gone = removed_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark_of"), F.col("lines").alias("__lines"))
     words = bloom.words_for(gone.count())
     table = persist(bloom.build(gone, F.xxhash64("__doc", "__mark_of"), words))
-    probed = bloom.probe(docs.withColumn("__text_hash", text_hash(docs)), F.xxhash64("doc_id", "__text_hash"), table, words, "__maybe")
-    clean = probed.where(~F.col("__maybe")).select(docs.columns)
-    met = probed.where("__maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__mark_of")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    cut = met.withColumn("__text", text)
+    whole = docs.select(F.struct("*").alias("__row"), text_hash(docs).alias("__text_hash"))  # no name of the input can clash
+    own, old = F.col("__row")["doc_id"], F.col("__row")["text"]
+    probed = bloom.probe(whole, F.xxhash64(own, "__text_hash"), table, words, "__maybe")
+    clean = probed.where(~F.col("__maybe")).select("__row.*")
+    met = probed.where("__maybe").join(gone, own.eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__mark_of")), "left")
+    kept = F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
+    text = F.when(F.col("__lines").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    cut = met.withColumn("__left", text)
     if drop_emptied:
-        cut = cut.where(F.col("__lines").isNull() | F.col("__text").rlike(r"\S"))
-    changed = cut.select(*[F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+        cut = cut.where(F.col("__lines").isNull() | F.col("__left").rlike(r"\S"))
+    changed = cut.select(*[F.col("__left").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
     return clean.unionByName(changed)
