@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -198,9 +199,29 @@ def test_exact_dedup(spark, make):
     assert exact.exact_dedup(make(rows).limit(0)).count() == 0
 
 
+def test_exact_dedup_over_several_filters(spark, make, monkeypatch):
+    from vacantia.llm import bloom
+
+    monkeypatch.setattr(bloom, "MOST_WORDS", 16)
+    rows = [(i, f"text {i // 3 if i % 3 else i}") for i in range(150)] + [(None, None)]
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact.exact_dedup(make(rows)).collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert bloom.segments_for(len(rows)) > 1
+    assert got == {(i, max((x for x in ids if x is not None), default=None), len(ids)) for ids in groups.values() for i in ids}
+
+
 # ---- secrets
 
 
+def test_a_long_run_of_failing_hits_is_scanned_once():
+    import time
+
+    began = time.time()
+    assert secrets.scan("eyJ" * 200_000, secrets.automaton()) == [] and time.time() - began < 5
+
+
 def github(body):
     return "ghp_" + body + secrets.crc_base62(body)
 
@@ -351,8 +372,13 @@ def test_chats_round_trip(spark):
         assert r["exact"] and [tuple(t) for t in r["turns"]] == turns
         spans = [r["formatted"][s["start"] : s["end"]] for s in r["loss"]]
         assert [re.sub(r"<~(~*)(/s|s|n)>", r"<\1\2>", s) for s in spans] == [x for role, x in turns if role == "assistant"]
+        assert [r["formatted"].encode()[s["first_byte"] : s["end_byte"]].decode() for s in r["loss"]] == spans
         assert r["formatted"].count("</s>") == len(turns)
     assert chat.format_chats(df.limit(0)).count() == 0
+    shown = [("user", "r", "é<s>"), ("assistant", "a\nb", "x é"), ("assistant", "", "")]
+    placed = spark.createDataFrame([(shown,)], "rows array<struct<role:string,shown_role:string,shown:string>>").select(chat._spans(F.col("rows")).alias("s")).first()["s"]
+    whole = "".join(f"<s>{r}\n{t}</s>\n" for _, r, t in shown)
+    assert [whole[s["start"] : s["end"]] for s in placed] == [whole.encode()[s["first_byte"] : s["end_byte"]].decode() for s in placed] == [t for _, _, t in shown]
     plain = chat.format_chats(spark.createDataFrame([(1, 0, "user", "no ~ marks < here >")], "conv_id long, turn long, role string, text string")).first()
     assert plain["formatted"] == "<s>user\nno ~ marks < here ></s>\n"
 
@@ -460,6 +486,27 @@ def test_odd_vectors_take_no_part(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("n", "kind"), [(2_000, "independent"), (16_384, "independent"), (16_384, "copies")])
+def test_recall_over_full_blocks(spark, monkeypatch, n, kind):
+    """At least 0.9 of the true 20 nearest, also where a third of the rows are near copies of one."""
+    monkeypatch.setattr(ann, "LEAST_BLOCKS", 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 64))
+    if kind == "copies":
+        x[: n // 3] = x[0] + 0.05 * rng.normal(size=(n // 3, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(4)
+    found = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % (n // 100) == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    wide, right = x.astype(np.float64), 0
+    for q in found:
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        right += len(found[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+    assert len(found) >= 100 and right >= 0.9 * 20 * len(found), right / 20 / len(found)
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
@@ -524,3 +571,15 @@ def test_splitting_tree_keeps_quotas():
     draws = np.array([mixing.split(counts, 2, seed)[0, 0] for seed in range(300)])
     total = sum(counts)
     assert abs(draws.mean() - 1000 * (total // 2) / total) < 1.5
+
+
+def test_near_copies_of_one_id_are_told_apart(spark, make):
+    a, b = LONG, " ".join(f"w{i}" for i in range(300))
+    kept = simhash.drop_near_duplicates(make([(1, a), (2, b), (2, a), (None, b + " x"), (None, "p q r s")]))
+    assert sorted((r["doc_id"] or -1, r["text"][:5]) for r in kept.collect()) == [(-1, "p q r"), (1, a[:5]), (2, b[:5])]
+
+
+def test_rows_of_one_id_lose_only_their_own_lines(spark, make):
+    one, two = "a line that stands in two of the rows", "a unique line of another text here"
+    got = collected(lines.dedup_lines(make([(1, one), (2, one), (2, two)])), "doc_id", "text")
+    assert got == [(1, one), (2, two)]
