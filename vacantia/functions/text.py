@@ -152,10 +152,18 @@ def distinct_texts(values: Column) -> Column:
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")]
 
 
+def _character(reference: Column) -> Column:
+    """What a numeric reference stands for, as one unit of UTF-16."""
+    code = F.when(F.lower(reference).startswith("&#x"), F.conv(F.regexp_extract(reference, "(?i)&#x([0-9a-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(reference, r"&#(\d+);", 1)).try_cast("long")
+    return F.decode(F.unhex(F.lpad(F.hex(F.coalesce(code, F.lit(0xFFFD)) % 65536), 4, "0")), "UTF-16BE")
+
+
 def decode_entities(value: Column) -> Column:
+    """Named references of the list, then numeric ones."""
     for entity, plain in ENTITIES:
         value = F.replace(value, F.lit(entity), F.lit(plain))
-    return value
+    numeric = F.array_distinct(F.regexp_extract_all(value, F.lit("(?i)&#(?:x[0-9a-f]+|[0-9]+);"), F.lit(0)))
+    return F.when(value.contains("&#"), F.aggregate(numeric, value, lambda out, r: F.replace(out, r, _character(r)))).otherwise(value)
 
 
 def strip_html(value: Column) -> Column:

@@ -252,15 +252,6 @@ def flt_quality_gate(t: Catalog) -> DataFrame:
     return t["documents"].select("doc_id", reason.alias("reason"))
 
 
-@query()
-def src_job_postings(t: Catalog) -> DataFrame:
-    """Wraps each page's URL in the scripts that a job page has, then reads them back at any depth."""
-    body = F.concat(F.lit('{"@graph":[{"@type":"JobPosting","url":'), F.to_json(F.struct("url")), F.lit("}]}"))
-    html = F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"), F.col("html"))
-    found = P.job_postings(t["pages"].select("page_id", html.alias("html")))
-    return found.select("page_id", F.get_json_object("posting", "$.url.url").alias("url"))
-
-
 @query("select page_id, url from pages")
 def src_window_object(t: Catalog) -> DataFrame:
     html = F.concat(F.lit("<script>window.__appData = "), F.to_json(F.struct(F.col("url"), F.lit('a "{" brace').alias("x"))), F.lit("; more {}</script>"), F.col("html"))

@@ -16,17 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.functions.text import strip_html
+from vacantia.functions.text import comparable, decode_entities, strip_html
+from vacantia.functions.urls import host, is_http
 
 LD_JSON = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 ANY_JSON = r"""(?is)<script[^>]+type=["']application/(?:json|[^"']+\+json)["'][^>]*>(.*?)</script>"""
 NEXT_DATA = r"""(?is)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""
 ANCHOR = r"""(?is)<a\b[^>]*\bhref=["']([^"'#][^"']*)["'][^>]*>(.*?)</a>"""
-# What a job title is like and what it is not.
-TITLE_YES = r"(?i)\b(engineer|developer|manager|analyst|designer|scientist|architect|specialist|consultant|director|intern|lead|coordinator|administrator)\b"
-TITLE_NO = r"(?i)\b(privacy|cookie|login|sign in|terms|blog|about us|contact|learn more|read more|view all|home)\b"
-PLACE_YES = r"(?i)\b(remote|hybrid|onsite|united states|usa|canada|india|germany|london|new york)\b|^[A-Z][A-Za-z .'-]+,\s*[A-Z][A-Za-z .'-]+$"
-JOB_PATH = r"(?i)/(jobs?|careers?|positions?|openings?|vacanc(y|ies))(/|$|\?)"
+LINK = r"""(?is)<a\b([^>]*?)href=["']([^"']+)["']([^>]*)>(.*?)</a>"""
+CONTEXT = 240
+# What job titles, places, job URLs and job hosts are like, and what titles are not.
+TITLE_YES = r"(?i)\b(engineer|developer|designer|manager|scientist|analyst|architect|administrator|product|marketing|sales|support|security|recruit(?:er|ing)?|operations?|finance|account(?:ant| executive|ing)?|specialist|consultant|director|lead|qa|quality|data|platform|devops|intern|graduate|technician|writer|editor|counsel|officer|coordinator|partner|attorney|researcher|swe)\b"
+TITLE_NO = r"(?i)\b(view all jobs?|all jobs?|open roles?|search jobs?|learn more|join our team|life at|benefits|culture|our values|candidate privacy|equal opportunity|read more|meet the team|our offices?|locations?|departments?)\b"
+PLACE_YES = r"(?i)\b(remote|hybrid|on site|onsite|united states|usa|us|canada|united kingdom|uk)\b"
+JOB_PATH = r"(?i)\b(job|jobs|career|careers|opening|openings|position|positions|role|roles|requisition|posting|opportunit|vacanc)\b"
+JOB_HOST = r"(?i)(greenhouse|lever|ashbyhq|myworkdayjobs|smartrecruiters|jobvite|bamboohr|workable|recruitee|icims|dayforce|paylocity|oraclecloud|successfactors|adp)"
+BREAKS = r"(?i)<(br|/p|/div|/li|/span|/section|/article|/h[1-6]|/td|/tr)[^>]*>"
 
 
 def scripts(html: Column, pattern: str) -> Column:
@@ -101,28 +106,17 @@ def job_postings(pages: DataFrame, identity: str = "page_id", html: str = "html"
 
 
 def window_object(marker: str):
-    """Column function: the JSON object that follows ``marker``, found by balancing braces outside of strings."""
+    """Column function: the JSON object that follows ``marker``; null if what begins there is no object."""
+    decoder = json.JSONDecoder()
 
     def cut(html: str | None) -> str | None:
         start = html.find("{", html.find(marker)) if html and marker in html else -1
-        depth, quoted, skip = 0, False, False
-        for i in range(start, len(html)) if start >= 0 else ():
-            c = html[i]
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    try:
-                        json.loads(html[start : i + 1])
-                    except ValueError:
-                        return None
-                    return html[start : i + 1]
-        return None
+        if start < 0:
+            return None
+        try:
+            return html[start : decoder.raw_decode(html, start)[1]]
+        except ValueError:
+            return None
 
     @F.pandas_udf(T.StringType())
     def run(pages: pd.Series) -> pd.Series:
@@ -144,21 +138,75 @@ def anchors(pages: DataFrame, identity: str, html: str) -> DataFrame:
 
 
 def looks_like_title(value: Column) -> Column:
-    """4 to 120 characters, at most 12 words, a word of a role and none of a site's furniture."""
-    v = F.trim(F.coalesce(value, F.lit("")))
-    return F.length(v).between(4, 120) & (F.size(F.split(v, r"\s+")) <= 12) & v.rlike(TITLE_YES) & ~v.rlike(TITLE_NO)
+    """4 to 120 characters, 1 to 12 words, a word of a role and none of a site's furniture."""
+    cleaned = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"\s+", " ")
+    normal = comparable(cleaned)
+    words = F.size(F.filter(F.split(normal, " "), lambda w: w != ""))
+    return F.length(cleaned).between(4, 120) & words.between(1, 12) & ~normal.rlike(TITLE_NO) & normal.rlike(TITLE_YES)
 
 
 def looks_like_place(value: Column) -> Column:
-    v = F.trim(F.coalesce(value, F.lit("")))
-    return F.length(v).between(2, 80) & v.rlike(PLACE_YES)
+    """At most 80 characters and a known word of place; or no role's word, and a comma."""
+    cleaned = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"\s+", " ")
+    normal = comparable(cleaned)
+    return (F.length(cleaned) <= 80) & (normal != "") & (normal.rlike(PLACE_YES) | (~normal.rlike(TITLE_YES) & cleaned.contains(",")))
 
 
 def likely_job_url(url: Column, page_url: Column) -> Column:
-    """A job path on the page's own host, or a hosted board."""
-    from vacantia.functions.urls import classify, host
-
-    return F.coalesce((host(url) == host(page_url)) & url.rlike(JOB_PATH), F.lit(False)) | F.coalesce(classify(url)["platform"] != "company_page", F.lit(False))
+    """An http URL on the page's own host, on a known host of jobs, or with a word of jobs in host, path or query."""
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)", 1)
+    return is_http(url) & (F.coalesce(host(url) == host(page_url), F.lit(False)) | F.coalesce(host(url).rlike(JOB_HOST), F.lit(False)) | rest.rlike(JOB_PATH))
+
+
+def distinct_comparable(values: Column) -> Column:
+    """Trimmed texts in order, of those that are comparably equal the first; blanks go."""
+    kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (comparable(v) != ""))
+    keys = F.transform(kept, comparable)
+    return F.filter(kept, lambda v, i: F.array_position(keys, comparable(v)) == i + 1)
+
+
+def segments_of(fragment: Column) -> Column:
+    """Texts of a piece of HTML, cut at block ends, bars, bullets and dashes between blanks."""
+    apart = F.regexp_replace(F.regexp_replace(fragment, "><", ">\n<"), BREAKS, "\n")
+    text = F.regexp_replace(decode_entities(F.regexp_replace(apart, "<[^>]+>", " ")), "[ \\t]{2,}", " ")
+    return distinct_comparable(F.split(F.regexp_replace(text, r"\s*[|\u2022]\s*|[^\S\n]+[-\u2013\u2014][^\S\n]+", "\n"), r"\s*\n\s*"))
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(attributes, rf"""(?i)\b{name}=["']([^"']*)["']""", 1), F.lit(""))
+
+
+def anchor_jobs(pages: DataFrame, identity: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``identity, n, title, location, source_url, job_id``: links that lead to jobs, named by their texts or by what stands around them.
+
+    The surroundings are CONTEXT characters on both sides; they are cut out by splitting
+    the page at its links, so no position is searched for twice.
+    """
+    whole = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(0))
+    between = F.split(F.regexp_replace(F.col(html), LINK, "\u0001"), "\u0001", -1)
+    part = lambda i: F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(i))
+    links = F.arrays_zip(whole.alias("whole"), part(1).alias("before"), part(2).alias("href"), part(3).alias("after"), part(4).alias("inner"))
+    rows = pages.select(identity, F.col(url).alias("page_url"), between.alias("between"), F.posexplode(links).alias("n", "a"))
+    left, right = F.col("between")[F.col("n")], F.col("between")[F.col("n") + 1]
+    near = F.concat(F.expr(f"right(__left, {CONTEXT})"), F.col("a.whole"), F.expr(f"left(__right, {CONTEXT})"))
+    rows = rows.withColumn("__left", left).withColumn("__right", right).select(identity, "n", "a", "page_url", near.alias("near"), resolve_url(F.col("a.href"), F.col("page_url")).alias("source_url"))
+    rows = rows.where(likely_job_url(F.col("source_url"), F.col("page_url")))
+    attributes = F.concat_ws(" ", "a.before", "a.after")
+    said = distinct_comparable(F.concat(segments_of(F.col("a.inner")), F.array(_attribute(attributes, "aria-label"), _attribute(attributes, "title")), segments_of(F.col("near"))))
+    rows = rows.withColumn("said", said)
+    title = F.try_element_at(F.filter("said", looks_like_title), F.lit(1))
+    rows = rows.withColumn("title", title).where(F.col("title").isNotNull())
+    place = F.try_element_at(F.filter("said", lambda x: (x != F.col("title")) & looks_like_place(x)), F.lit(1))
+    key = comparable(F.regexp_replace(F.regexp_extract(F.col("source_url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", ""))
+    return rows.select(identity, "n", "title", F.coalesce(place, F.lit("Location unavailable")).alias("location"), "source_url", F.when(key != "", key).otherwise(F.col("n").cast("string")).alias("job_id"))
+
+
+def first_per_source(jobs: DataFrame, identity: str = "page_id", order: str = "n") -> DataFrame:
+    """Of a page's jobs with one canonical URL, else one source URL, else one company, title and place, the first."""
+    c = lambda n: F.nullif(F.col(n), F.lit("")) if n in jobs.columns else F.lit(None).cast("string")
+    shared = F.concat_ws("|", *[comparable(F.coalesce(c(n), F.lit(""))) for n in ("company", "title", "location")])
+    keyed = jobs.withColumn("__key", F.coalesce(c("canonical_url"), c("source_url"), shared))
+    return keyed.groupBy(identity, "__key").agg(F.min_by(F.struct(*jobs.columns), order).alias("j")).select("j.*")
 
 
 def link_status(head_status: Column, get_status: Column, body: Column, url_ok: Column) -> Column:
