@@ -107,14 +107,13 @@ def job_postings(pages: DataFrame, identity: str = "page_id", html: str = "html"
 
 def window_object(marker: str):
     """Column function: the JSON object that follows ``marker``; null if what begins there is no object."""
-    decoder = json.JSONDecoder()
 
     def cut(html: str | None) -> str | None:
         start = html.find("{", html.find(marker)) if html and marker in html else -1
         if start < 0:
             return None
         try:
-            return html[start : decoder.raw_decode(html, start)[1]]
+            return html[start : json.JSONDecoder().raw_decode(html, start)[1]]
         except ValueError:
             return None
 
