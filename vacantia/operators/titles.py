@@ -27,6 +27,9 @@ class Family:
     group: str
     positive: list[str] = field(default_factory=list)
     negative: list[str] = field(default_factory=list)
+    anchor: str = ""
+    discovery: list[str] = field(default_factory=list)
+    broadens: bool = True
 
 
 @dataclass
@@ -43,6 +46,7 @@ class Concept:
     excludes: list[str] = field(default_factory=list)
     negative: list[str] = field(default_factory=list)
     related: list[str] = field(default_factory=list)
+    discovery: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -69,6 +73,7 @@ STAND_INS = [
     ("administrator", "engineer"), ("developer", "engineer"), ("engineer", "developer"), ("architect", "engineer"), ("researcher", "scientist"),
     ("scientist", "analyst"), ("tester", "engineer"), ("staff", "engineer"), ("specialist", "manager"), ("owner", "manager"),
 ]
+BROAD_FAMILIES = ["software_engineering", "data_platform", "ai_ml_science", "product", "cloud_devops_security", "architecture_solutions"]
 THRESHOLDS = {"strict": 760, "balanced": 420, "broad": 260}
 SAMPLE = Catalog(
     [
@@ -101,6 +106,10 @@ class Prepared:
     def column(self) -> Column:
         return F.from_json(F.lit(self.concepts), f"array<struct<{_typed(_CONCEPT)}>>")
 
+    def plain(self) -> dict[str, dict]:
+        """Concepts by name, phrases in normal form, for the driver's side of a query."""
+        return {c["name"]: c for c in json.loads(self.concepts)}
+
     def family_column(self) -> Column:
         return F.from_json(F.lit(self.families), f"array<struct<{_typed(_FAMILY)}>>")
 
@@ -217,6 +226,22 @@ def adjacency(catalog: Catalog) -> list[str]:
     return sorted(f"{a}>{b}" for a, b in pairs | {(b, a) for a, b in pairs} if a != b)
 
 
+def relatedness(q, ready: Prepared, same_group: Column, shared: Column) -> Column:
+    """Points for two concepts of one broad family: same group, shared neighbours, one in the other's expansion, shared words; 0 to 560."""
+    catalog = ready.source
+    mine = next((c for c in catalog.concepts if c.name == q["concept"]), None)
+    if mine is None or mine.family not in BROAD_FAMILIES:
+        return F.lit(0)
+    rest = [c for c in catalog.concepts if c.family == mine.family]
+    near = [c.name for c in rest if set(c.adjacent) & set(mine.adjacent)]
+    family = F.coalesce(F.col("concept").isin([c.name for c in rest]), F.lit(False))
+    in_query = F.coalesce(F.col("concept").isin([*(q["concepts"] or []), *(q["candidates"] or [])]), F.lit(False)) if q["concepts"] or q["candidates"] else F.lit(False)
+    in_job = F.coalesce(F.array_contains("concepts", mine.name) | F.array_contains("candidates", mine.name), F.lit(False))
+    neighbours = F.coalesce(F.col("concept").isin(near), F.lit(False)) if near else F.lit(False)
+    points = 430 + F.when(same_group, 45).otherwise(0) + F.when(neighbours, 35).otherwise(0) + F.when(in_query | in_job, 30).otherwise(0) + shared * 25
+    return F.when(family & (same_group | in_query | in_job), F.least(F.lit(560), points)).otherwise(0)
+
+
 def match(analyzed: DataFrame, query: str, ready: Prepared, mode: str = "balanced") -> DataFrame:
     """Add tier, score and whether it matches, of each analysed title against one query.
 
@@ -246,13 +271,15 @@ def match(analyzed: DataFrame, query: str, ready: Prepared, mode: str = "balance
     aliased = F.coalesce(F.col("alias_kind") == "alias", F.lit(False)) | F.lit(q["alias_kind"] == "alias")
     concept_tier = F.when(abbreviated, "abbreviation").when(aliased, "synonym").otherwise("canonical_variant")
     concept_score = F.when(abbreviated, 760).when(aliased, 820).otherwise(880)
-    family_score = F.least(F.lit(620), 440 + n * 55 + F.when(same_group, 40).otherwise(0) + F.when(covered, 35).otherwise(0))
+    related = relatedness(q, ready, same_group, n)
+    family_score = F.least(F.lit(620), 440 + n * 55 + F.when(same_group, 40).otherwise(0) + F.when(covered, 35).otherwise(0) + related)
     word_score = F.least(F.lit(460), 250 + n * 70 + 50 + F.when(covered, 60).otherwise(0) + F.when(job_covered, 20).otherwise(0))
     empty = (F.col("normal") == "") | F.lit(q["normal"] == "")
     same, stripped = F.col("normal") == q["normal"], (F.col("stripped") == q["stripped"]) & (F.col("stripped") != "")
     tests = [
         (empty, "none", F.lit(0)), (same, "exact", F.lit(1000)), (stripped, "canonical_variant", F.lit(900)), (F.size(both) > 0, concept_tier, concept_score),
         (hard, "none", F.lit(0)), (F.coalesce(adjacent, F.lit(False)), "adjacent_concept", F.lit(640)), (same_family & (n > 0), "same_family_related", family_score),
+        (same_family & (related > 0), "same_family_related", related),
         ((n > 0) & same_group, "generic_token_overlap", word_score),
     ]
     tier, score = None, None
