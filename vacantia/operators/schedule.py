@@ -36,25 +36,26 @@ def quotas(capacities: DataFrame, platform: str, capacity: str, total: int) -> D
     return capacities.select(platform).join(given, platform, "left").select(platform, F.coalesce("quota", F.lit(0)).cast("long").alias("quota"))
 
 
-def select_with_reserves(rows: DataFrame, n: int, reserve_new: float, cap_share: float, *order: Column) -> DataFrame:
+def select_with_reserves(rows: DataFrame, n: int, reserve_new: float, cap_share: float, *order: Column, identity: str = "source_id") -> DataFrame:
     """n sources: a share is kept for those never crawled, and no platform has more than its cap until others run out.
 
-    Passes are ranks, not loops: each row's pass is decided by its place among the new
-    ones and among its platform's, and one sort takes the first n.
+    Passes are ranks, not loops: each row's pass is decided by whether it is among the
+    first new ones and by its place in its platform, and one sort takes the first n.
     """
     reserve, cap = max(1, int(n * reserve_new)), max(1, int(n * cap_share))
     in_platform = F.row_number().over(Window.partitionBy("platform").orderBy(*order))
-    fresh = F.row_number().over(Window.partitionBy(F.col("last_crawled_at").isNull(), F.lit(0)).orderBy(*order))
-    placed = rows.withColumn("in_platform", in_platform).withColumn("fresh", F.when(F.col("last_crawled_at").isNull(), fresh))
-    turn = F.when((F.col("fresh") <= reserve) & (F.col("in_platform") <= cap), 0).when(F.col("in_platform") <= cap, 1).otherwise(2)
-    return placed.withColumn("turn", turn).orderBy("turn", *order).limit(n)
+    fresh = rows.where(F.col("last_crawled_at").isNull()).orderBy(*order).limit(reserve).select(F.col(identity).alias("__id"), F.lit(True).alias("__fresh"))
+    placed = rows.withColumn("in_platform", in_platform).join(F.broadcast(fresh), F.col(identity) == F.col("__id"), "left")  # ``reserve`` rows at most
+    turn = F.when(F.col("__fresh") & (F.col("in_platform") <= cap), 0).when(F.col("in_platform") <= cap, 1).otherwise(2)
+    return placed.withColumn("turn", turn).drop("__id", "__fresh").orderBy("turn", *order).limit(n)
 
 
 def rotate(profiles: DataFrame, start: int, n: int, now: Column) -> DataFrame:
     """The next n profiles from ``start`` on, wrapping around; ties by failures, priority, how long overdue, id."""
-    size = F.count("*").over(Window.partitionBy())
+    size = profiles.agg(F.count("*").alias("__size"))
     overdue = F.unix_millis(now) - F.unix_millis(F.col("next_eligible_at"))
-    return profiles.withColumn("distance", F.pmod(F.col("idx") - start, size)).orderBy("distance", "failures", "priority", overdue.desc(), "profile_id").limit(n)
+    met = profiles.crossJoin(F.broadcast(size))  # one row
+    return met.withColumn("distance", F.pmod(F.col("idx") - start, F.col("__size"))).drop("__size").orderBy("distance", "failures", "priority", overdue.desc(), "profile_id").limit(n)
 
 
 def claim(sources: DataFrame, wanted: DataFrame, owner: str, now: Column, seconds: int) -> DataFrame:

@@ -19,22 +19,22 @@ TREE = {"$or": [{"link_status": {"$in": ["valid", "unknown"]}}, {"n_chars": {"$g
 
 @query(f"""
     with j as ({V.SQL_LISTING}), s as (
-        select pos, platform, title, n_chars, 900 * (regexp_matches(' ' || {COMPARABLE.format('title')} || ' ', ' (the|la|der|que) '))::int as relevance,
-            case when pos % 3 = 0 then timestamp '1999-12-31' - to_days((pos % 200)::int) end as posted, timestamp '1999-12-31' - to_days((pos % 90)::int) as crawled from j where is_active and n_chars > 0),
+        select pos, platform, link_status, country, n_chars, 900 * (regexp_matches(' ' || {COMPARABLE.format('title')} || ' ', ' (the|la|der|que) '))::int as relevance,
+            case when pos % 3 = 0 then timestamp '1999-12-31' - to_days((pos % 4 * 9)::int) end as posted, timestamp '1999-12-31' - to_days((pos % 3 * 20)::int) as crawled from j where is_active and n_chars > 0),
     r as (select *, coalesce(posted, crawled) as at_, floor((epoch_ms(timestamp '{V.NOW}') - epoch_ms(coalesce(posted, crawled))) / 86400000) as age from s),
     f as (select *, relevance + case when posted is not null then case when age <= 3 then 180 when age <= 7 then 165 when age <= 14 then 145 when age <= 30 then 120 when age <= 60 then 85 when age <= 120 then 45 else 15 end
         else case when age <= 3 then 55 when age <= 7 then 45 when age <= 14 then 35 when age <= 30 then 25 when age <= 60 then 15 else 5 end end as final_score from r where relevance > 0)
-    select pos, final_score::int as final_score, row_number() over (order by final_score desc, relevance desc, posted is not null desc, at_ desc, pos)::int as place from f qualify place <= 50
+    select pos, final_score::int as final_score, row_number() over (order by final_score desc, relevance desc, posted is not null desc, at_ desc, coalesce(country, ''), coalesce(link_status, ''), coalesce(platform, ''), lpad((pos * 7919 % 10007)::varchar, 5, '0'), pos)::int as place from f qualify place <= 50
 """)
 def search_ranked(t: Catalog) -> DataFrame:
-    """The flagship: active postings whose title holds a word, best first, with the final score."""
+    """The flagship: active postings that hold a word, best first, with the final score; dates tie often, so the texts decide."""
     k = F.col("pos")
-    day = lambda n: F.timestamp_seconds(F.lit(946598400) - (k % n) * 86400)
-    none = F.lit(None).cast("string")
+    day = lambda n, width: F.timestamp_seconds(F.lit(946598400) - (k % n) * width * 86400)
     rows = V.listing(t).where(F.col("is_active") & (F.col("n_chars") > 0))
     title = comparable(F.col("title"))
     hit = contains_phrase(title, "the") | contains_phrase(title, "la") | contains_phrase(title, "der") | contains_phrase(title, "que")
-    rows = rows.where(hit).select("pos", none.alias("platform"), none.alias("title"), F.when(k % 3 == 0, day(200)).alias("posted_at"), day(90).alias("crawled_at"), none.cast("timestamp").alias("discovered_at"), none.alias("company"), none.alias("source_job_id"), none.alias("url"))
+    job_id = F.lpad((k * 7919 % 10007).cast("string"), 5, "0")
+    rows = rows.where(hit).select("pos", "platform", F.col("link_status").alias("title"), F.when(k % 3 == 0, day(4, 9)).alias("posted_at"), day(3, 20).alias("crawled_at"), F.lit(None).cast("timestamp").alias("discovered_at"), F.col("country").alias("company"), job_id.alias("source_job_id"), F.lit("u").alias("url"))
     best = ranking.top(ranking.ranked(rows, F.lit(900), V.now()), 50).withColumn("one", F.lit(1))
     order = Window.partitionBy("one").orderBy(*ranking.rank_order(F.col("ranking")))
     return best.select("pos", F.col("ranking.final_score").alias("final_score"), F.row_number().over(order).alias("place"))
@@ -58,10 +58,10 @@ def flt_exclusions(t: Catalog) -> DataFrame:
     return filters.with_counts(V.listing(t), reason)[1].select("reason", F.col("count").alias("n"))
 
 
-@query("select e.event_id as sequence, c.c_name as name from events e join customer c on e.user_id = c.c_custkey where e.event_id % 10 = 3")
+@query("select e.event_id as sequence, c.c_name as name from events e join customer c on e.user_id = c.c_custkey")
 def joi_events_to_jobs(t: Catalog) -> DataFrame:
     rows = t["customer"].select(F.col("c_custkey").alias("job_id"), F.col("c_name").alias("name"))
-    return V.log(t).where(F.col("sequence") % 10 == 3).join(rows, "job_id").select("sequence", "name")
+    return V.log(t).join(rows, "job_id").select("sequence", "name")
 
 
 @query("select c_custkey as pos from customer where c_custkey in (select user_id from events where event_type = 'purchase')")
@@ -170,10 +170,10 @@ def snk_sequences(t: Catalog) -> DataFrame:
     return next_sequences(rows, 1000, F.col("ts"), F.col("event_id")).select("event_id", "sequence")
 
 
-@query("select user_id, event_type, 50 + row_number() over (order by user_id, event_type) as sequence from (select distinct user_id, event_type from events where event_id % 4 = 1 and (user_id, event_type) not in (select (user_id, event_type) from events where event_id % 4 = 0))")
+@query("select user_id, event_type, 50 + row_number() over (order by user_id, event_type) as sequence from (select distinct user_id, event_type from events where event_id % 2 = 1 and (user_id, event_type) not in (select (user_id, event_type) from events where event_id % 2 = 0))")
 def snk_append_missing(t: Catalog) -> DataFrame:
     pairs = t["events"].select("event_id", "user_id", "event_type")
-    return feed.append_missing(pairs.where("event_id % 4 = 0"), pairs.where("event_id % 4 = 1").select("user_id", "event_type"), ["user_id", "event_type"], 50)
+    return feed.append_missing(pairs.where("event_id % 2 = 0"), pairs.where("event_id % 2 = 1").select("user_id", "event_type"), ["user_id", "event_type"], 50)
 
 
 @query("select n_regionkey as region, list_sort(list_distinct(list(left(n_name, 2)) || list(right(n_name, 2)))) as aliases, max(n_nationkey)::bigint as seen_count, (select max(m.n_name) from nation m where m.n_nationkey = (select max(x.n_nationkey) from nation x where x.n_regionkey = nation.n_regionkey)) as summary from nation group by n_regionkey")
@@ -355,9 +355,9 @@ def agg_coverage(t: Catalog) -> DataFrame:
     return metrics.coverage(V.listing(t), {"place": F.col("country") == "en", "title": F.col("n_chars") > 1000})
 
 
-@query("select doc_id, list_reduce(list_filter(list_transform(string_split(left(text, 300), '.'), lambda x: trim(x)), lambda x: x <> ''), lambda a, x: case when contains('.' || a || '.', '.' || x || '.') then a else a || '.' || x end, '') as joined from documents")
+@query("select doc_id, list_reduce(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> ''), lambda a, x: case when contains('.' || a || '.', '.' || x || '.') then a else a || '.' || x end, '') as joined from documents")
 def set_distinct_ordered(t: Catalog) -> DataFrame:
-    parts = distinct_texts(F.split(F.substring("text", 1, 300), r"\."))
+    parts = distinct_texts(F.split("text", r"\."))
     return t["documents"].select("doc_id", F.concat(F.when(F.size(parts) > 0, F.lit(".")).otherwise(F.lit("")), F.array_join(parts, ".")).alias("joined"))
 
 

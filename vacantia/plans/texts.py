@@ -29,9 +29,9 @@ def txt_comparable(t: Catalog) -> DataFrame:
     return t["documents"].select("doc_id", X.comparable(F.col("text")).alias("comparable_text"))
 
 
-@query(f"with t as ({V.SQL_TITLES}) select pos, {sql_title('title')} as normal from t union all select -1 - doc_id, {sql_title('left(text, 200)')} from documents")
+@query(f"with t as ({V.SQL_TITLES}) select pos, {sql_title('title')} as normal from t union all select -1 - doc_id, {sql_title('text')} from documents")
 def txt_title_normal(t: Catalog) -> DataFrame:
-    docs = t["documents"].select((-1 - F.col("doc_id")).alias("pos"), F.substring("text", 1, 200).alias("title"))
+    docs = t["documents"].select((-1 - F.col("doc_id")).alias("pos"), F.col("text").alias("title"))
     return V.titles(t).unionByName(docs).select("pos", X.normal_title(F.col("title")).alias("normal"))
 
 
@@ -66,16 +66,16 @@ def txt_head_and_words(t: Catalog) -> DataFrame:
 @query(f"""
     with n as (select pos, string_split({sql_title('title')}, ' ') as w from ({V.SQL_TITLES}))
     select pos, count(distinct p)::bigint as n_phrases, count(distinct case when p like '% % %' then p end)::bigint as n_longest
-    from (select pos, array_to_string(w[i:i + k - 1], ' ') as p from n, unnest(range(1, 4)) k(k), unnest(range(1, 30)) i(i) where i + k - 1 <= len(w)) group by pos
+    from (select pos, array_to_string(w[i:i + k - 1], ' ') as p from n, unnest(range(1, 4)) k(k), unnest(range(1, len(w) + 1)) i(i) where i + k - 1 <= len(w)) group by pos
 """)
 def txt_phrases(t: Catalog) -> DataFrame:
     p = X.phrases(X.tokens(X.normal_title(F.col("title"))), 1, 3)
     return V.titles(t).select("pos", F.size(p).cast("long").alias("n_phrases"), F.size(F.filter(p, lambda x: x.like("% % %"))).cast("long").alias("n_longest"))
 
 
-@query(f"select doc_id, sha256({COMPARABLE.format('source')} || '|' || {COMPARABLE.format('left(text, 80)')} || '|' || {COMPARABLE.format('lang')}) as fingerprint from documents")
+@query(f"select doc_id, sha256({COMPARABLE.format('source')} || '|' || {COMPARABLE.format('text')} || '|' || {COMPARABLE.format('lang')}) as fingerprint from documents")
 def hsh_fingerprint(t: Catalog) -> DataFrame:
-    return t["documents"].select("doc_id", urls.content_fingerprint(F.col("source"), F.substring("text", 1, 80), F.col("lang")).alias("fingerprint"))
+    return t["documents"].select("doc_id", urls.content_fingerprint(F.col("source"), F.col("text"), F.col("lang")).alias("fingerprint"))
 
 
 @query(f"""
@@ -120,7 +120,7 @@ def src_page_parts(t: Catalog) -> DataFrame:
 
 def _plain_sql() -> str:
     out = "regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
-    for entity, plain in X.ENTITIES:
+    for entity, plain in [('&nbsp;', ' '), ('&amp;', '&'), ('&lt;', '<'), ('&gt;', '>'), ('&quot;', '"'), ('&#39;', "'"), ('&apos;', "'")]:
         out = f"replace({out}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
@@ -143,14 +143,12 @@ def txt_slug_label(t: Catalog) -> DataFrame:
     return t["supplier"].select("s_suppkey", X.slug_to_label(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("label"))
 
 
-_BAND = lambda age, bands: "case " + " ".join(f"when {age} <= {m} then {s}" if m is not None else f"else {s}" for m, s in bands) + " end"
-
-
 @query(f"""
     with o as (select o_orderkey, case when o_orderkey % 3 = 0 then o_orderdate end as posted, case when o_orderkey % 3 = 1 then o_orderdate end as crawled, o_orderdate + interval 36 hour as discovered from orders),
     a as (select *, coalesce(posted, crawled, discovered) as at_, floor(greatest(0, epoch_ms(timestamp '{V.NOW}') - epoch_ms(coalesce(posted, crawled, discovered))) / 86400000)::bigint as age from o)
     select o_orderkey, case when posted is not null then 'postingDate' when crawled is not null then 'crawledAt' else 'discoveredAt' end as source, age as age_days,
-        case when posted is not null then {_BAND('age', dates.POSTING_BANDS)} else {_BAND('age', dates.FALLBACK_BANDS)} end as score from a
+        case when posted is not null then case when age <= 3 then 180 when age <= 7 then 165 when age <= 14 then 145 when age <= 30 then 120 when age <= 60 then 85 when age <= 120 then 45 else 15 end
+            else case when age <= 3 then 55 when age <= 7 then 45 when age <= 14 then 35 when age <= 30 then 25 when age <= 60 then 15 else 5 end end as score from a
 """)
 def dat_effective(t: Catalog) -> DataFrame:
     k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
@@ -213,14 +211,9 @@ def flt_experience(t: Catalog) -> DataFrame:
     return V.titles(t).select("pos", experience.matches(e["level"], e["explicit"], e["confidence"], _LEVELS, "strict", True).alias("taken"))
 
 
-def _any_sql(rules: list[tuple[str, str]]) -> str:
-    return "(" + " or ".join(f"regexp_matches(visa, '{p}')" for _, p in rules) + ")"
-
-
 @query(f"""
-    with o as ({V.SQL_OFFERS}), e as (select *, {_any_sql(sponsorship.NEGATIVE)} as neg, {_any_sql(sponsorship.POSITIVE)} as pos_, {_any_sql(sponsorship.AMBIGUOUS)} as amb from o)
-    select pos, case when neg then 'not_supported' when pos_ or sponsors then 'supported' else 'unknown' end as hint, case when neg or pos_ then 'high' when sponsors then 'medium' when amb then 'low' else 'none' end as confidence,
-        case when regexp_matches(visa, '{sponsorship.INGEST_NO}') then 'not_supported' when regexp_matches(visa, '{sponsorship.INGEST_YES}') then 'supported' else 'unknown' end as ingest from e
+    with o as ({V.SQL_OFFERS}) select pos, (['supported', 'not_supported', case when sponsors then 'supported' else 'unknown' end, case when sponsors then 'supported' else 'unknown' end, 'supported', 'not_supported'])[pos % 6 + 1] as hint,
+        (['high', 'high', case when sponsors then 'medium' else 'low' end, case when sponsors then 'medium' else 'none' end, 'high', 'high'])[pos % 6 + 1] as confidence, (['supported', 'not_supported', 'unknown', 'unknown', 'supported', 'unknown'])[pos % 6 + 1] as ingest from o
 """)
 def spn_decide(t: Catalog) -> DataFrame:
     d = sponsorship.decide(sponsorship.evidence(F.col("visa")), F.col("sponsors"), F.lit("high"))
@@ -241,12 +234,12 @@ def nrm_fields(t: Catalog) -> DataFrame:
 
 
 @query("""
-    select doc_id, case when trim(left(text, 12)) = '' then 'empty_title' when doc_id % 17 = 0 then 'placeholder_title' when doc_id % 13 = 0 then 'missing_company' when doc_id % 11 = 0 then 'missing_source_job_id'
+    select doc_id, case when trim(text) = '' then 'empty_title' when doc_id % 17 = 0 then 'placeholder_title' when doc_id % 13 = 0 then 'missing_company' when doc_id % 11 = 0 then 'missing_source_job_id'
         when doc_id % 7 = 0 then 'invalid_source_url' when doc_id % 5 = 0 then 'invalid_apply_url' when lang is null then 'empty_location' end as reason from documents
 """)
 def flt_quality_gate(t: Catalog) -> DataFrame:
     k = F.col("doc_id")
-    title = F.when(k % 17 == 0, F.when(F.trim(F.substring("text", 1, 12)) == "", "").otherwise("Untitled role")).otherwise(F.substring("text", 1, 12))
+    title = F.when(k % 17 == 0, F.when(F.trim("text") == "", "").otherwise("Untitled role")).otherwise(F.col("text"))
     url = lambda n: F.when(k % n == 0, "ftp:/nowhere").otherwise("https://example.com/x")
     reason = postings.drop_reason(title, F.when(k % 13 == 0, "Unknown").otherwise("Acme"), F.when(k % 11 != 0, k.cast("string")), url(7), url(5), F.col("lang"), F.col("source"))
     return t["documents"].select("doc_id", reason.alias("reason"))

@@ -58,17 +58,16 @@ SQL_OFFERS = f"""select c_custkey as pos, c_name as company, {sql_pick(EMPLOYMEN
 
 
 def listing(t: Catalog) -> DataFrame:
-    """Documents as postings: the first six words as title, the source as platform, state from the labels."""
+    """Documents as postings: the text as title, the source as platform, state from the labels."""
     d = t["documents"].join(t["labels"], "doc_id", "left")
-    words = F.slice(F.split("text", " "), 1, 6)
     status = F.when(F.col("quality") == 1, "valid").when(F.col("quality") == 0, "stale").otherwise("unknown")
     return d.select(
-        F.col("doc_id").alias("pos"), F.array_join(words, " ").alias("title"), F.col("source").alias("platform"), F.col("lang").alias("country"), status.alias("link_status"),
+        F.col("doc_id").alias("pos"), F.col("text").alias("title"), F.col("source").alias("platform"), F.col("lang").alias("country"), status.alias("link_status"),
         (F.coalesce(F.col("toxic"), F.lit(0)) == 0).alias("is_active"), F.col("n_chars").alias("n_chars"), F.col("text"),
     )
 
 
-SQL_LISTING = """select d.doc_id as pos, array_to_string(string_split(text, ' ')[1:6], ' ') as title, source as platform, lang as country,
+SQL_LISTING = """select d.doc_id as pos, text as title, source as platform, lang as country,
     case quality when 1 then 'valid' when 0 then 'stale' else 'unknown' end as link_status, coalesce(toxic, 0) = 0 as is_active, n_chars, text
     from documents d left join labels l on d.doc_id = l.doc_id"""
 
@@ -83,7 +82,7 @@ def postings(t: Catalog) -> DataFrame:
         F.col("doc_id").alias("pos"), F.col("source").alias("platform"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("company_slug"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")).alias("source_job_id"),
         F.when(F.col("doc_id") % 3 == 1, F.array(F.concat_ws(":", F.col("source"), F.lit("b"), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>")).alias("lookup_keys"),
         F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("https://s.example.com/"), F.col("doc_id").cast("string"))).alias("source_url"), none.alias("apply_url"), none.alias("resolved_url"),
-        F.when(F.col("doc_id") % 3 != 0, url("c")).alias("canonical_url"), F.col("source").alias("company"), F.substring("text", 1, 20).alias("title"), F.col("lang").alias("location"), key.alias("fingerprint"),
+        F.when(F.col("doc_id") % 3 != 0, url("c")).alias("canonical_url"), F.col("source").alias("company"), F.col("text").alias("title"), F.col("lang").alias("location"), key.alias("fingerprint"),
         F.when(F.col("doc_id") % 2 == 0, "valid").otherwise("unknown").alias("link_status"), none.alias("validated_at"),
         F.timestamp_seconds(F.col("doc_id") * 3600).alias("posted_at"), F.timestamp_seconds(F.col("doc_id") * 60).alias("discovered_at"),
     )
