@@ -57,9 +57,13 @@ def merge_profiles(old: DataFrame, new: DataFrame, key: str = "company_key") ->
     return both.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), *[F.max(c).alias(c) for c in counts], *map(last, rest)).select(old.columns)
 
 
+def version_path(folder: str, version: int) -> str:
+    return f"{folder}/v{version:012d}"
+
+
 def write_version(df: DataFrame, folder: str, version: int, partition_by: list[str] | None = None) -> str:
     """Write version ``version`` of a table and make it the current one; a rerun of the same version gives the same table."""
-    spark, path = df.sparkSession, f"{folder}/v{version:012d}"
+    spark, path = df.sparkSession, version_path(folder, version)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{folder}/current-{version:012d}")

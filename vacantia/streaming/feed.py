@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.operators.resolve import merge_stored
-from vacantia.sources.tables import next_sequences
+from vacantia.sources.tables import next_sequences, version_path, write_version
 
 
 def fingerprint(*columns: str) -> Column:
@@ -71,6 +71,22 @@ def run_feed(spark: SparkSession, source: DataFrame, apply: Callable[[DataFrame,
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_counts(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Counts of a stream of events by user, as a versioned table that each micro-batch moves on by one.
+
+    A batch is merged into the version before its own, whatever is current, so one that
+    comes again after a failure writes the same version again.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        fresh = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+        if number:
+            fresh = spark.read.parquet(version_path(folder, number - 1)).unionByName(fresh)
+        write_version(fresh.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last_event").alias("last_event")), folder, number)
+
+    return run_feed(spark, source, apply, checkpoint)
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Extension: events by type in event-time windows, with late rows up to ``late``."""
     return (
