@@ -29,9 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import by_batch
+from vacantia.durable import drop, persist
+from vacantia.llm import bloom
+from vacantia.llm.common import by_batch, slices
 from vacantia.operators.components import connected_components
-from vacantia.plans.durable import persist
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, BITS, TILE = 3, 42, 3, 1024
@@ -56,16 +57,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, fp`` (a signed long) of every row."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, fp`` (a signed long) of every row; the mark is a 64-bit hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
+            found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "mark", "fp"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return by_batch(docs.select(id_column, text_column), run, f"doc_id {kind}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return by_batch(docs.select("doc_id", F.xxhash64(docs["text"]).alias("mark"), "text"), run, f"doc_id {kind}, mark long, fp long")
 
 
 def at_anchors(distinct: DataFrame) -> DataFrame:
@@ -133,27 +134,57 @@ def _forests(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
+def components(rows: DataFrame) -> DataFrame:
+    """``fp, component`` of the distinct fingerprints of ``rows``; alone, a fingerprint is its own component."""
+    distinct = persist(rows.select("fp").distinct())
+    found = persist(links(distinct))
+    members = connected_components(found)
+    drop(found)
+    answer = persist(distinct.join(members.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")))
+    drop(distinct)
+    return answer
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row: the smallest id reachable through links."""
-    rows = persist(fingerprints(docs))
-    firsts = persist(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    members = connected_components(links(firsts.select("fp")))
-    grouped = persist(
-        firsts.join(members.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    )
-    lowest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    answer = grouped.join(lowest, "component").select("fp", "component_id")
+    rows = persist(fingerprints(docs).select("doc_id", "fp"))
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    grouped = persist(components(rows).join(firsts, "fp"))
+    # tables of their own: both sides of the joins are plain shuffles, which adaptive execution can split
+    lowest = persist(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    answer = persist(grouped.join(lowest, "component").select("fp", "component_id"))
+    drop(grouped, lowest)
     return rows.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest id, with all columns of ``docs``."""
-    answer = near_duplicates(docs.select("doc_id", "text"))
-    keep = persist(answer.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
-    same = docs["doc_id"].eqNullSafe(keep["__id"])
-    once = docs.join(keep.where("__n = 1"), same, "left_semi")
-    if keep.where("__n > 1").isEmpty():
-        return once
-    # rows that repeat an id: of equal texts one stays
-    return once.unionByName(docs.join(keep.where("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One row of each component, with all columns of ``docs``.
+
+    The row with the smallest id stays (no id: last), of equal ids the one with the
+    smallest hash of its text, of rows that repeat both any one.  Rows pass straight
+    through but for those that a Bloom filter takes for one that goes.
+    """
+    rows = persist(fingerprints(docs))
+    answer = components(rows)
+    counted = persist(rows.join(answer, "fp").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n")))
+    drop(rows, answer)
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
+    best = persist(counted.groupBy("component").agg(F.min(place).alias("best")))
+    stays = place.eqNullSafe(F.col("best"))
+    decided = persist(
+        counted.join(best, "component").where(~stays | (F.col("n") > 1))
+        .select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark_of"), stays.alias("__stays"))
+    )
+    drop(counted, best)
+    words = bloom.words_for(decided.count())
+    table = persist(bloom.build(decided, F.xxhash64("__doc", "__mark_of"), words))
+    whole = docs.select(F.struct("*").alias("__row"), F.xxhash64(docs["text"]).alias("__text_hash"))
+    own = F.col("__row")["doc_id"]
+    probed = bloom.probe(whole, F.xxhash64(own, "__text_hash"), table, words, "__maybe")
+    clean = probed.where(~F.col("__maybe")).select("__row.*")
+    met = probed.where("__maybe").join(decided, own.eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__mark_of")), "left")
+    kept = clean.unionByName(met.where(F.col("__stays").isNull()).select("__row.*"))
+    if decided.where("__stays").isEmpty():
+        return kept
+    repeated = met.where("__stays").groupBy("__doc", "__mark_of").agg(F.first("__row").alias("__row"))
+    return kept.unionByName(repeated.select("__row.*"))
