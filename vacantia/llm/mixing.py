@@ -24,8 +24,8 @@ only; tables with a row a source or block are read back from the shared folder,
 true size decides whether Spark broadcasts them.
 
 Defined results: a null text has size 0; sources are ordered by code point, the null
-source last, and weigh ``weights`` in turn; rows that repeat an id are chosen alike; an
-empty table gives no rows; other columns pass through ``mixed`` untouched.
+source last, and weigh ``weights`` in turn; rows that repeat an id, and rows whose ids
+share a 40-bit hash, are chosen alike; an empty table gives no rows; other columns pass through ``mixed`` untouched.
 """
 
 from __future__ import annotations
@@ -36,12 +36,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.durable import drop, persist
 from vacantia.llm.common import WORD
-from vacantia.plans.durable import persist
 
 BLOCK_DOCS, MOST_BLOCKS, STRATA, ROUNDS = 64, 4096, 1024, 3
 SPACE = 1 << 40
-SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 4_000_000, 8, 4096
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS, PIECES = 4_000_000, 8, 4096, 4
 
 
 def size_of(text: Column) -> Column:
@@ -78,13 +78,18 @@ def _block(u: Column, blocks: Column) -> Column:
     return F.floor(u * blocks / F.lit(SPACE)).cast("long")
 
 
-def _chosen(state: list[str]) -> Column:
-    """Whether the partial pass takes a document, by the cuts and gaps of the rounds so far."""
-    taken = F.lit(False)
-    for i in range(len(state)):
-        fits = (F.col("u") > F.col(f"cut{i - 1}")) & (F.col("size") <= F.col(f"gap{i - 1}")) if i else F.lit(True)
-        taken = taken | (fits & (F.col("u") <= F.col(f"cut{i}")))
-    return taken
+def _chosen(u: Column, size: Column) -> Column:
+    """Whether the partial pass takes a document, by the cuts and gaps of the rounds; the size counts past the first cut only."""
+    later = F.lit(False)
+    for i in range(1, ROUNDS):
+        later = later | ((u > F.col(f"cut{i - 1}")) & (u <= F.col(f"cut{i}")) & (size <= F.col(f"gap{i - 1}")))
+    beyond = u > F.greatest(*[F.col(f"cut{i}") for i in range(ROUNDS)])
+    return F.when(u <= F.col("cut0"), True).when(beyond, False).otherwise(later)
+
+
+def _copies(u: Column, size: Column, some: Column) -> Column:
+    """How often the mix takes a document; ``some``: whether it has any word."""
+    return F.when(some, F.col("whole_passes") + _chosen(u, size).cast("long")).otherwise(F.lit(0)).cast("long")
 
 
 def _round(rows: DataFrame, plan: DataFrame, i: int) -> DataFrame:
@@ -145,22 +150,15 @@ class Plan:
     seed: int
     shards: int
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with a struct ``__mix``: size, source_size, target, copies, taken, shards, order."""
-        given = docs.columns
-        keyed = docs.select("*", _permuted(self.seed).alias("u"), F.col("source").alias("__source")) if "u" not in given else docs.withColumn("__source", F.col("source"))
-        rounds = [f"cut{i}" for i in range(ROUNDS)]
+    def apply(self, docs: DataFrame, size: Column, some: Column) -> DataFrame:
+        """``docs`` as a struct ``__row``, with ``__size, source_size, target, copies, shards``."""
+        whole = docs.select(F.struct("*").alias("__row"), _permuted(self.seed).alias("__u"), F.col("source").alias("__source"))
         named = self.sources.withColumnRenamed("source", "__name")
-        met = keyed.join(named, keyed["__source"].eqNullSafe(named["__name"]))
-        met = met.withColumn("block", _block(F.col("u"), F.col("blocks"))).withColumn(
-            "copies", F.when(F.col("size") > 0, F.col("whole_passes") + _chosen(rounds).cast("long")).otherwise(F.lit(0)).cast("long")
-        )
+        met = whole.join(named, F.col("__source").eqNullSafe(F.col("__name")))
+        met = met.withColumn("block", _block(F.col("__u"), F.col("blocks"))).withColumn("copies", _copies(F.col("__u"), size, some))
         met = met.join(self.blocks.select("at", "block", "dealt"), ["at", "block"], "left")
-        mix = F.struct(
-            "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
-            F.slice(F.coalesce("dealt", F.array().cast("array<int>")), F.lit(1), F.col("copies").cast("int")).alias("shards"),
-        )
-        return met.withColumn("__mix", mix)
+        dealt = F.slice(F.coalesce("dealt", F.array().cast("array<int>")), F.lit(1), F.col("copies").cast("int"))
+        return met.select("__row", "source_size", "target", "copies", dealt.alias("shards"))
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0, seed: int = 20) -> Plan:
@@ -175,7 +173,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), factor: float =
     )
     for i in range(ROUNDS):
         state = _round(placed, state, i)
-    copies = F.when(F.col("size") > 0, F.col("whole_passes") + _chosen([f"cut{i}" for i in range(ROUNDS)]).cast("long")).otherwise(F.lit(0))
+    copies = _copies(F.col("u"), F.col("size"), F.col("size") > 0)
     units = persist(
         placed.join(state, "at").select("at", _block(F.col("u"), F.col("blocks")).alias("block"), copies.alias("copies"), "size")
         .groupBy("at", "block").agg(F.max("copies").cast("int").alias("copies"), F.sum(F.col("copies") * F.col("size")).alias("words"))
@@ -206,15 +204,25 @@ def measured(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies, shards``: what the mix takes of every row."""
     rows = measured(docs)
-    return plan(rows, **options).apply(rows).select("doc_id", "__mix.*").select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+    size = F.col("__row")["size"]
+    taken = (size * F.col("copies")).alias("taken")
+    return plan(rows, **options).apply(rows, size, size > 0).select(F.col("__row")["doc_id"].alias("doc_id"), size.alias("size"), "source_size", "target", taken, "copies", "shards")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, dealt to its shards, in a shard's shuffled order."""
-    made = plan(measured(docs), **options)
-    inner = docs.select(F.struct("*").alias("__row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
-    rows = made.apply(inner).select("__row", "doc_id", F.posexplode("__mix.shards").alias("__pass", "__shard"))
-    order = F.xxhash64(F.lit(made.seed + 2), "doc_id", "__pass")
+    """The mix itself: each row as often as it is taken, dealt to its shards, in a shard's shuffled order.
+
+    The shard of a copy is known, so copies go straight to PIECES tasks a shard; words are
+    counted again only where a document lies past the first cut.
+    """
+    sizes = measured(docs)
+    made = plan(sizes, **options)
+    drop(sizes)
+    text = F.col("__row")["text"]
+    rows = made.apply(docs, size_of(text), F.coalesce(text.rlike(WORD), F.lit(False))).select("__row", F.posexplode("shards").alias("pass", "shard"))
+    order = F.pmod(F.xxhash64(F.lit(made.seed + 2), F.col("__row")["doc_id"], "pass"), F.lit(SPACE))
+    piece = (F.col("shard") * PIECES + F.floor(F.col("order") * PIECES / F.lit(SPACE))).cast("int")
     return (
-        rows.withColumn("__order", order).repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order").select("__row.*")
+        rows.withColumn("order", order).repartitionById(made.shards * PIECES, piece)
+        .sortWithinPartitions("shard", "order").select("__row.*")
     )
