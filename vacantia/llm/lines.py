@@ -203,6 +203,9 @@ def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     words = bloom.words_for(wanted.count())
     table = bloom.as_array(bloom.build(wanted.select(place.alias("place")), F.col("place"), words), words)
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    # documents that hold none are left out before their texts leave the JVM
+    marks = bloom.build(wanted.select("mark").distinct(), F.col("mark"), words)
+    near = bloom.probe(docs.select("text", text_hash(docs).alias("mark")), F.col("mark"), marks, words, "maybe").where("maybe").select("text", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -217,7 +220,7 @@ def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 maybe = np.flatnonzero(bloom.holds(shared.value, places))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[maybe]), pa.array([texts[i] for i in maybe], pa.string())], ["key", "line_text"])
 
-    return docs.select("text", text_hash(docs).alias("mark")).mapInArrow(run, "key long, line_text string").dropDuplicates(["key"])
+    return near.mapInArrow(run, "key long, line_text string").dropDuplicates(["key"])
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -262,18 +265,24 @@ def _tiles(table: pa.Table, edges: np.ndarray) -> list[tuple[int, int]]:
     if not table.num_rows:
         return out
     bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    keys, texts, own = table.column("key").to_pylist(), table.column("line_text"), table.column("own").to_pylist()
-    band = (table.column("bucket").to_numpy() >> 32).tolist()
-    across = (table.column("i").to_numpy() != table.column("j").to_numpy()).tolist()
-    starts = [0, *edges.tolist()]
-    for a, z in zip(starts, [*edges.tolist(), len(keys)]):
-        if z - a < 2:
-            continue
-        mine = bands[a:z]
-        due = first_met(mine[:, None], mine[None, :], band[a])
-        np.fill_diagonal(due, False)
-        if due.any():  # in a tile of two sides, pairs of one side are compared in that side's own tile
-            out += similar_links(keys[a:z], texts.slice(a, z - a).to_pylist(), own[a:z] if across[a] else None, due)
+    keys, texts, own = table.column("key").to_pylist(), table.column("line_text"), table.column("own").to_numpy()
+    band = table.column("bucket").to_numpy() >> 32
+    across = table.column("i").to_numpy() != table.column("j").to_numpy()
+    starts = np.concatenate([[0], edges]).astype(np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    # tiles of two, which most are, all at once
+    two = starts[sizes == 2]
+    agree = bands[two] == bands[two + 1]
+    due = agree.any(1) & (agree.argmax(1) == band[two]) & ~(across[two] & (own[two] == own[two + 1]))
+    for a, x, y in zip(two[due].tolist(), texts.take(two[due]).to_pylist(), texts.take(two[due] + 1).to_pylist()):
+        if similar(shingles(x), shingles(y)):
+            out.append((keys[a], keys[a + 1]))
+    for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        mine = bands[a : a + n]
+        first = first_met(mine[:, None], mine[None, :], int(band[a]))
+        np.fill_diagonal(first, False)
+        if first.any():  # in a tile of two sides, pairs of one side are compared in that side's own tile
+            out += similar_links(keys[a : a + n], texts.slice(a, n).to_pylist(), own[a : a + n].tolist() if across[a] else None, first)
     return out
 
 
