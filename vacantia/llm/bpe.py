@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vacantia.llm.common import by_batch
+from vacantia.llm.common import by_batch, slices
 
 # Fixed value: the split pattern of the vocabulary's byte-level pre-tokenizer. The white
 # space is spelled out as Unicode's White_Space property.
@@ -68,13 +68,18 @@ def read_vocabulary(path: str) -> tuple[list[bytes], list[tuple[int, int, int]],
     return tokens, merges, special
 
 
+PIECE = 4 << 20  # bytes of text that are Python strings at a time
 LONGEST_REMEMBERED = 64  # characters; bounds the memory of a worker together with the number of words
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary. ``remembered``: words whose ids are kept at most."""
+    """Encoder and decoder of one vocabulary.
 
-    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], remembered: int = 500_000):
+    ``remembered``: short words whose ids are kept at most, in two halves; when the newer
+    half is full the older one goes, so words that keep coming stay.
+    """
+
+    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], remembered: int = 400_000):
         self.special, self.remembered = special, remembered
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -94,6 +99,7 @@ class Codec:
         self.machine.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         sizes = np.array(self.size, dtype=np.int64)
         self.lengths, self.offsets = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
@@ -145,10 +151,12 @@ class Codec:
         return taken
 
     def _pack(self, word: str) -> bytes:
-        ids = np.array(self.encode_word(word.encode()), dtype="<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.encode_word(word.encode()), dtype="<u4").tobytes()
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self.words) >= self.remembered:
-                self.words.clear()
+            if 2 * len(self.words) >= self.remembered:
+                self.words, self.older = {}, self.words
             self.words[word] = ids
         return ids
 
@@ -194,7 +202,7 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_column, PIECE)):
             ids = [np.frombuffer(codec.encode(t or ""), dtype="<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())], ["doc_id", "ids", "n_tokens"]
@@ -228,7 +236,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", PIECE)):
             counts, id_sums, text_sums, same = [], [], [], []
             for text in batch.column(1).to_pylist():
                 packed = codec.encode(text or "")

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vacantia.llm.common import by_batch
+from vacantia.llm.common import by_batch, slices
 
 # Kinds in order of report, keywords and patterns of the contract, and the
 # public formats of the added kinds.
@@ -136,7 +136,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_column, 4 << 20)):
             out = []
             for text in batch.column(1).to_pylist():
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b]} for a, k, b in scan(text or "", machine)])
