@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vacantia.llm import bpe, langid, lines, mixing, simhash
 from vacantia.llm.common import remainder
 from vacantia.llm.queries import vocabulary_path
-from vacantia.plans.durable import persist
+from vacantia.durable import drop, persist
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = persist(stage(spark, docs, sf_dir))
+        last, docs = docs, persist(stage(spark, docs, sf_dir))
+        drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
