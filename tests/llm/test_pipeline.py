@@ -5,15 +5,15 @@ from tests.conftest import SMALL
 from vacantia.llm import lines, simhash
 
 
-def test_stages_one_after_the_other(spark):
+def test_stages_one_after_the_other(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SMALL)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.schema.names == docs.schema.names
-        out.write.mode("overwrite").parquet(f"/tmp/vacantia-test/{len(seen)}")
-        docs = seen[name] = spark.read.parquet(f"/tmp/vacantia-test/{len(seen)}")
+        out.write.parquet(f"{tmp_path}/{len(seen)}")
+        docs = seen[name] = spark.read.parquet(f"{tmp_path}/{len(seen)}")
     first, deduped, apart, mixed, encoded = seen.values()
     assert first.count() == 200
     left = [n for r in deduped.collect() for _, n in lines.eligible(r["text"])]

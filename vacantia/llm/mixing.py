@@ -7,9 +7,9 @@ shared anew among the rest, all in one water-filling over a table with a row a s
 Blocks: a hash permutes the documents of a source and cuts them into blocks of about
 BLOCK_DOCS documents, at most MOST_BLOCKS a source.  A source's target is some whole
 passes over its blocks and one partial pass: whole blocks in permuted order, then
-documents of the block at the border, then later documents that fit into what is still
-missing (ROUNDS rounds).  Only sums of blocks and the documents of the border block are
-ever ordered, so a source with a third of all rows is summed in parts like any other.
+documents of the block at the border, then of the next FILLERS documents those that
+still fit, one after another, and one more where that comes nearer to the target.  Only sums of blocks, the documents of the border
+block and those few are ever ordered, so a source with a third of all rows is summed in parts like any other.
 
 Splitting tree: the blocks that a source gives, its exact quota, are split among the
 output shards from the root down; at each node the left half draws its share of every
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from vacantia.durable import drop, persist
 from vacantia.llm.common import WORD
 
-BLOCK_DOCS, MOST_BLOCKS, STRATA, ROUNDS = 64, 4096, 1024, 3
+BLOCK_DOCS, MOST_BLOCKS, STRATA, FILLERS = 64, 4096, 1024, 256
 SPACE = 1 << 40
 SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS, PIECES = 4_000_000, 8, 4096, 4
 
@@ -78,49 +78,54 @@ def _block(u: Column, blocks: Column) -> Column:
     return F.floor(u * blocks / F.lit(SPACE)).cast("long")
 
 
-def _chosen(u: Column, size: Column) -> Column:
-    """Whether the partial pass takes a document, by the cuts and gaps of the rounds; the size counts past the first cut only."""
-    later = F.lit(False)
-    for i in range(1, ROUNDS):
-        later = later | ((u > F.col(f"cut{i - 1}")) & (u <= F.col(f"cut{i}")) & (size <= F.col(f"gap{i - 1}")))
-    beyond = u > F.greatest(*[F.col(f"cut{i}") for i in range(ROUNDS)])
-    return F.when(u <= F.col("cut0"), True).when(beyond, False).otherwise(later)
-
-
-def _copies(u: Column, size: Column, some: Column) -> Column:
+def _copies(u: Column, some: Column) -> Column:
     """How often the mix takes a document; ``some``: whether it has any word."""
-    return F.when(some, F.col("whole_passes") + _chosen(u, size).cast("long")).otherwise(F.lit(0)).cast("long")
+    part = (u <= F.col("cut")) | F.array_contains("picked", u)
+    return F.when(some, F.col("whole_passes") + part.cast("long")).otherwise(F.lit(0)).cast("long")
 
 
-def _round(rows: DataFrame, plan: DataFrame, i: int) -> DataFrame:
-    """Add ``cut{i}`` and ``gap{i}``: how far this round goes in the permuted order, and the words still missing."""
-    gap = F.col(f"gap{i - 1}") if i else F.col("part")
-    open_ = rows.join(plan, "at").where(F.col("size") > 0)
-    if i:
-        open_ = open_.where((F.col("u") > F.col(f"cut{i - 1}")) & (F.col("size") <= gap))
-    open_ = open_.select("at", "u", "size", _block(F.col("u"), F.col("blocks")).alias("block"))
+def _cut(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add ``cut`` and ``gap``: how far the partial pass goes in the permuted order, and the words then missing."""
+    open_ = rows.join(plan, "at").where(F.col("size") > 0).select("at", "u", "size", _block(F.col("u"), F.col("blocks")).alias("block"))
     sums = open_.groupBy("at", "block").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("at").orderBy("block")
-    running = sums.join(plan.select("at", gap.alias("gap")), "at").withColumn("upto", F.sum("words").over(order))
+    running = sums.join(plan.select("at", "part"), "at").withColumn("upto", F.sum("words").over(order))
     border = persist(
         running.groupBy("at").agg(
-            F.min(F.when(F.col("upto") > F.col("gap"), F.col("block"))).alias("block"),
-            F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.lit(0)).alias("whole"), F.first("gap").alias("gap"),
+            F.min(F.when(F.col("upto") > F.col("part"), F.col("block"))).alias("block"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("part"), F.col("upto"))), F.lit(0)).alias("whole"), F.first("part").alias("part"),
         )
     )
     inside = open_.join(border, ["at", "block"]).withColumn("upto", F.sum("size").over(Window.partitionBy("at").orderBy("u")) + F.col("whole"))
-    ends = inside.where(F.col("upto") <= F.col("gap")).groupBy("at").agg(F.max("u").alias("last"), F.max("upto").alias("got"))
-    found = border.join(ends, "at", "left")
+    ends = inside.where(F.col("upto") <= F.col("part")).groupBy("at").agg(F.max("u").alias("last"), F.max("upto").alias("got"))
+    found = border.join(ends, "at", "left").select("at", "block", "whole", "last", "got")
     first_of_block = F.expr(f"if(block = 0, -1L, (block * {SPACE}L - 1L) div blocks)")
     return persist(
-        plan.join(found.select("at", "block", "whole", "last", "got"), "at", "left").select(
-            *plan.columns,
-            F.when(F.col("block").isNull(), F.lit(SPACE)).otherwise(F.coalesce("last", first_of_block)).cast("long").alias(f"cut{i}"),
-            (gap - F.coalesce("got", "whole", F.lit(0))).cast("long").alias(f"gap{i}"),
+        plan.join(found, "at", "left").select(
+            *plan.columns, F.when(F.col("block").isNull(), F.lit(SPACE)).otherwise(F.coalesce("last", first_of_block)).cast("long").alias("cut"),
+            (F.col("part") - F.coalesce("got", "whole", F.lit(0))).cast("long").alias("gap"),
         )
     )
 
 
+def _filled(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add ``picked``: of the next FILLERS documents past the cut, those that still fit one after another, and one more if that comes nearer."""
+    later = rows.join(plan.select("at", "cut", "gap"), "at").where((F.col("size") > 0) & (F.col("u") > F.col("cut")) & (F.col("size") < 2 * F.col("gap")))
+    next_ = later.withColumn("place", F.row_number().over(Window.partitionBy("at").orderBy("u", "size"))).where(F.col("place") <= FILLERS)  # each task keeps that many a source
+    few = next_.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("u", "size"))).alias("few"))
+    none = F.array().cast("array<bigint>")
+
+    def take(done: Column, d: Column) -> Column:
+        fits = d["size"] <= done["gap"]
+        return F.struct(F.when(fits, done["gap"] - d["size"]).otherwise(done["gap"]).alias("gap"), F.when(fits, F.concat(done["picked"], F.array(d["u"]))).otherwise(done["picked"]).alias("picked"))
+
+    done = plan.join(few, "at", "left").withColumn("done", F.aggregate("few", F.struct(F.col("gap").alias("gap"), none.alias("picked")), take))
+    rest = F.filter("few", lambda d: ~F.array_contains("done.picked", d["u"]))
+    nearest = F.array_min(F.transform(rest, lambda d: F.struct(F.abs(F.col("done.gap") - d["size"]).alias("off"), d["u"].alias("u"))))
+    last = F.when(nearest["off"] < F.col("done.gap"), F.array(nearest["u"])).otherwise(none)
+    return persist(done.select(*plan.columns, F.coalesce(F.concat("done.picked", last), none).alias("picked")))
+
+
 def split(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Quota of every shard (rows) from every stratum (columns), by recursive halving."""
     quotas = np.zeros((shards, len(counts)), dtype=np.int64)
@@ -150,12 +155,12 @@ class Plan:
     seed: int
     shards: int
 
-    def apply(self, docs: DataFrame, size: Column, some: Column) -> DataFrame:
-        """``docs`` as a struct ``__row``, with ``__size, source_size, target, copies, shards``."""
+    def apply(self, docs: DataFrame, some: Column) -> DataFrame:
+        """``docs`` as a struct ``__row``, with ``source_size, target, copies, shards``; ``some``: whether a row has any word."""
         whole = docs.select(F.struct("*").alias("__row"), _permuted(self.seed).alias("__u"), F.col("source").alias("__source"))
         named = self.sources.withColumnRenamed("source", "__name")
         met = whole.join(named, F.col("__source").eqNullSafe(F.col("__name")))
-        met = met.withColumn("block", _block(F.col("__u"), F.col("blocks"))).withColumn("copies", _copies(F.col("__u"), size, some))
+        met = met.withColumn("block", _block(F.col("__u"), F.col("blocks"))).withColumn("copies", _copies(F.col("__u"), some))
         met = met.join(self.blocks.select("at", "block", "dealt"), ["at", "block"], "left")
         dealt = F.slice(F.coalesce("dealt", F.array().cast("array<int>")), F.lit(1), F.col("copies").cast("int"))
         return met.select("__row", "source_size", "target", "copies", dealt.alias("shards"))
@@ -171,9 +176,8 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), factor: float =
         sources.withColumn("whole_passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("part", F.round(F.col("target") - F.col("whole_passes") * F.col("source_size")).cast("long"))
     )
-    for i in range(ROUNDS):
-        state = _round(placed, state, i)
-    copies = _copies(F.col("u"), F.col("size"), F.col("size") > 0)
+    state = _filled(placed, _cut(placed, state))
+    copies = _copies(F.col("u"), F.col("size") > 0)
     units = persist(
         placed.join(state, "at").select("at", _block(F.col("u"), F.col("blocks")).alias("block"), copies.alias("copies"), "size")
         .groupBy("at", "block").agg(F.max("copies").cast("int").alias("copies"), F.sum(F.col("copies") * F.col("size")).alias("words"))
@@ -206,20 +210,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows = measured(docs)
     size = F.col("__row")["size"]
     taken = (size * F.col("copies")).alias("taken")
-    return plan(rows, **options).apply(rows, size, size > 0).select(F.col("__row")["doc_id"].alias("doc_id"), size.alias("size"), "source_size", "target", taken, "copies", "shards")
+    return plan(rows, **options).apply(rows, size > 0).select(F.col("__row")["doc_id"].alias("doc_id"), size.alias("size"), "source_size", "target", taken, "copies", "shards")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, dealt to its shards, in a shard's shuffled order.
 
-    The shard of a copy is known, so copies go straight to PIECES tasks a shard; words are
-    counted again only where a document lies past the first cut.
+    The shard of a copy is known, so copies go straight to PIECES tasks a shard, and no
+    words are counted again.
     """
     sizes = measured(docs)
     made = plan(sizes, **options)
     drop(sizes)
     text = F.col("__row")["text"]
-    rows = made.apply(docs, size_of(text), F.coalesce(text.rlike(WORD), F.lit(False))).select("__row", F.posexplode("shards").alias("pass", "shard"))
+    rows = made.apply(docs, F.coalesce(text.rlike(WORD), F.lit(False))).select("__row", F.posexplode("shards").alias("pass", "shard"))
     order = F.pmod(F.xxhash64(F.lit(made.seed + 2), F.col("__row")["doc_id"], "pass"), F.lit(SPACE))
     piece = (F.col("shard") * PIECES + F.floor(F.col("order") * PIECES / F.lit(SPACE))).cast("int")
     return (
