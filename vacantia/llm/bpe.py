@@ -79,7 +79,7 @@ class Codec:
     half is full the older one goes, so words that keep coming stay.
     """
 
-    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], remembered: int = 400_000):
+    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], remembered: int = 1_000_000):
         self.special, self.remembered = special, remembered
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
