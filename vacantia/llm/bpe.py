@@ -14,6 +14,9 @@ whose size the file bounds.  Documents never leave their partition: no shuffle.
 Defined results: a null text counts as empty; an empty text has no ids; repeated rows
 are encoded each; the text of a special token is that token, wherever it stands; other
 columns are not looked at.
+
+A text of any length is encoded whole, in one task; a batch is cut so that few texts are
+Python strings at a time.
 """
 
 from __future__ import annotations

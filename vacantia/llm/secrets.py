@@ -13,7 +13,9 @@ object with "alg").
 
 Defined results: a null or empty text has no spans; spans of one kind never overlap,
 leftmost first; spans of different kinds may.  Positions are code points, the end is
-exclusive.  Repeated rows are scanned each; other columns are not looked at.
+exclusive.  A text of any length is scanned whole, in one task and in time proportional
+to it.  Repeated rows are scanned each; an empty table gives no rows; other columns are
+not looked at.
 """
 
 from __future__ import annotations
