@@ -10,6 +10,13 @@ as Parquet to the shared folder and read back as the next one's ``docs``.
 4. mixing: sources are drawn to their target weights; a document may come out twice or
    not at all.
 5. BPE: ids of every document and the text they decode to, as digests.
+
+Defined results: a null or empty text has no language and goes in stage 1; a null id is
+learnt from by none, comes first where line dedup keeps the first and last where
+near-dedup keeps the smallest, and is drawn like any other id by the mix; rows that share an id and a
+text count as one document in stages 2 and 3, rows that share an id only are documents of
+their own but are drawn alike; a text of any length stays whole; columns beyond those of
+documents pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
