@@ -118,8 +118,18 @@ def _typed(ddl: str) -> str:
     return ", ".join(f"{n}:{t}" for n, t in (p.split(" ", 1) for p in ddl.split(", ")))
 
 
+_prepared: dict[str, Prepared] = {}
+
+
 def prepare(spark: SparkSession, catalog: Catalog = SAMPLE) -> Prepared:
-    """Normalise the catalog's phrases; a row a concept, a handful of kilobytes."""
+    """Normalise the catalog's phrases, once a process; a row a concept, a handful of kilobytes."""
+    key = repr(catalog)
+    if key not in _prepared:
+        _prepared[key] = _prepare(spark, catalog)
+    return _prepared[key]
+
+
+def _prepare(spark: SparkSession, catalog: Catalog) -> Prepared:
     rows = [(c.name, c.family, c.title, c.aliases, c.abbreviations, c.synonyms, [c.title, *c.aliases, *[s for g in c.synonyms for s in g], *c.related], c.adjacent, c.excludes, c.negative) for c in catalog.concepts]
     raw = spark.createDataFrame(rows, "name string, family string, title string, aliases array<string>, abbreviations array<string>, synonyms array<array<string>>, all array<string>, adjacent array<string>, excludes array<string>, negative array<string>")
     normal = lambda c: F.transform(c, X.normal_title)
