@@ -119,3 +119,10 @@ def merge_stored(old: DataFrame, new: DataFrame, key: str = "canonical_key") ->
         "last_seen": F.greatest("a.last_seen", "b.last_seen").alias("last_seen"), "is_active": F.coalesce("b.is_active", "a.is_active").alias("is_active"),
     }
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*[merged[c] for c in old.columns])
+
+
+def first_profile(rows: DataFrame, profiles: DataFrame, key: str, identity: str = "id") -> DataFrame:
+    """``rows`` with ``profile``: the first of the profiles whose ``name`` or one of whose ``aliases`` is the row's key; rows without one go."""
+    named = profiles.select(F.col(identity).alias("profile"), F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("__key"))
+    first = named.groupBy("__key").agg(F.min("profile").alias("profile"))
+    return rows.join(first, F.col(key) == F.col("__key")).drop("__key")

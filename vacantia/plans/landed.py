@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.durable import shared_dir
 from vacantia.functions.text import decode_entities
 from vacantia.plans import views as V
 from vacantia.plans.registry import query
 from vacantia.sources import boards, discovery, structured
 from vacantia.sources import pages as P
-from vacantia.sources.tables import Catalog
+from vacantia.sources.tables import Catalog, append_facts, imported_profiles
 
 _HOST = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*')"
 
@@ -205,3 +208,33 @@ def src_boards(t: Catalog) -> DataFrame:
     )
     raw = t["documents"].select(V.pick(["greenhouse", "lever", "ashby", "smartrecruiters"], k).alias("platform"), V.pick(["gh", "lv", "as", "sr"], k).alias("token"), payload.alias("payload"))
     return boards.normalize(boards.postings(raw)).select("platform", "token", "source_job_id", "title", "source_url", "location", "drop_reason")
+
+
+@query("select n_nationkey::varchar || ' ' || k as domain, case when k = 'json' then n_name else upper(n_name) end as company, case when k = 'json' then 2 else 1 end::int as aliases, n_nationkey % 2 = 0 as likely from nation, (values ('json'), ('csv')) v(k)")
+def src_profiles(t: Catalog) -> DataFrame:
+    """Sponsorship profiles from a JSON file and from a plain CSV file."""
+    folder = f"{shared_dir(t.spark)}/profiles-{uuid.uuid4().hex}"
+    n, key = t["nation"], F.col("n_nationkey").cast("string")
+    entry = F.struct(F.col("n_name").alias("companyName"), F.array(F.lit("a"), F.lit("b")).alias("aliases"), F.concat(key, F.lit(" json")).alias("domain"), (F.col("n_nationkey") % 2 == 0).alias("h1bSponsorLikely"))
+    n.agg(F.to_json(F.collect_list(entry)).alias("value")).coalesce(1).write.text(f"{folder}/json")  # a file of 25 entries
+    line = F.concat_ws(",", F.upper("n_name"), F.lit("x;"), F.concat(key, F.lit(" csv")), (F.col("n_nationkey") % 2 == 0).cast("string"), F.lit("low"), F.lit("none"))
+    head = t.spark.createDataFrame([("companyName,aliases,domain,h1bSponsorLikely,confidence,evidenceSummary", -1)], "value string, at int")
+    head.unionByName(n.select(line.alias("value"), F.col("n_nationkey").alias("at"))).coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{folder}/csv")
+    both = [imported_profiles(t.spark, f"{folder}/{k}").select("domain", F.col("companyName").alias("company"), F.size("aliases").alias("aliases"), F.col("h1bSponsorLikely").alias("likely")) for k in ("json", "csv")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"select page_id, 'Data Engineer' as title, {_HOST} || '/en-US/Site/job/Paris/Data-Engineer_R' || page_id as source_url, 'R' || page_id as source_job_id from pages")
+def src_workday_links(t: Catalog) -> DataFrame:
+    html = _id('<a href="/en-US/Site/job/Paris/Data-Engineer_R%d?x=1">Data Engineer</a><a href="/en-US/Site/job/Paris/Data-Engineer_R%d">Apply</a><a href="/about">x</a>')
+    return P.workday_links(_page(t, html)).select("page_id", "title", "source_url", "source_job_id")
+
+
+@query("select event_id as pos, 'u' || (event_id % 50) as url from events")
+def snk_append_facts(t: Catalog) -> DataFrame:
+    """Facts added in two writes are all there."""
+    folder = f"{shared_dir(t.spark)}/facts-{uuid.uuid4().hex}"
+    facts = t["events"].select(F.col("event_id").alias("pos"), F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string")).alias("url"))
+    append_facts(facts.where("pos % 2 = 0"), folder)
+    append_facts(facts.where("pos % 2 = 1"), folder)
+    return t.spark.read.parquet(folder)

@@ -93,10 +93,9 @@ def joi_latest_since(t: Catalog) -> DataFrame:
 def joi_company_alias(t: Catalog) -> DataFrame:
     """Companies to profiles by name or alias, the first profile."""
     n = t["nation"]
-    profiles = n.select(F.col("n_nationkey").alias("id"), F.explode(F.array(F.lower("n_name"), F.lower(F.substring("n_name", 1, 3)))).alias("k"))
-    first = profiles.groupBy("k").agg(F.min("id").alias("profile"))
+    profiles = n.select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"), F.array(F.lower(F.substring("n_name", 1, 3))).alias("aliases"))
     named = t["customer"].join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 2 == 0, F.lower("n_name")).otherwise(F.lower(F.substring("n_name", 1, 3))).alias("k"))
-    return named.join(first, "k").select("pos", "profile")
+    return resolve.first_profile(named, profiles, "k").select("pos", "profile")
 
 
 @query("select doc_id as pos, case when doc_id % 3 <> 0 then 'platform:' || source || ':' || (case when doc_id % 3 = 1 then 'b' else source end) || ':' || doc_id else 'fallback:' || md5(lower(text)) end as canonical_key, doc_id % 3 <> 0 as has_strong from documents")

@@ -200,6 +200,15 @@ def anchor_jobs(pages: DataFrame, identity: str = "page_id", url: str = "url", h
     return rows.select(identity, "n", "title", F.coalesce(place, F.lit("Location unavailable")).alias("location"), "source_url", F.when(key != "", key).otherwise(F.col("n").cast("string")).alias("job_id"))
 
 
+def workday_links(pages: DataFrame, identity: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``identity, title, source_url, source_job_id``: links of a hosted page whose path holds a job, each once; the id ends the path."""
+    links = anchors(pages, identity, html).where(F.col("href").contains("/job/"))
+    met = links.join(pages.select(F.col(identity).alias("__id"), F.col(url).alias("page_url")), F.col(identity) == F.col("__id"))
+    absolute = met.select(identity, "n", F.col("label").alias("title"), F.regexp_replace(resolve_url(F.col("href"), F.col("page_url")), "[?#].*$", "").alias("source_url"))
+    job_id = F.element_at(F.split("source_url", "[/_]"), -1)
+    return first_per_source(absolute.where(F.col("title") != ""), identity).select(identity, "title", "source_url", job_id.alias("source_job_id"))
+
+
 def first_per_source(jobs: DataFrame, identity: str = "page_id", order: str = "n") -> DataFrame:
     """Of a page's jobs with one canonical URL, else one source URL, else one company, title and place, the first."""
     c = lambda n: F.nullif(F.col(n), F.lit("")) if n in jobs.columns else F.lit(None).cast("string")

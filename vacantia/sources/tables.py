@@ -48,6 +48,11 @@ def imported_profiles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def append_facts(facts: DataFrame, folder: str) -> None:
+    """Add rows, such as checks of links, to a table of facts; what is there is never rewritten."""
+    facts.write.mode("append").parquet(folder)
+
+
 def merge_profiles(old: DataFrame, new: DataFrame, key: str = "company_key") -> DataFrame:
     """Profiles by company: aliases united and sorted, counts the larger, other fields the newer where known."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
