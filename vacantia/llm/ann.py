@@ -9,8 +9,8 @@ product of the original vectors in double precision.
 
 How many are reranked follows from the data: each vector stores its encoding error, and
 it is reranked unless its looked-up score, plus MARGIN times the error's spread along
-any one direction times the query's norm, is below the least exact score of the first k
-by looked-up score.  With errors near normal, one in fifty of the true neighbours at the
+any one direction times the query's norm, is below the k-th best exact score of the
+first AHEAD times k by looked-up score.  With errors near normal, one in fifty of the true neighbours at the
 very edge of the list is missed at MARGIN 2; no number of candidates is fixed.
 
 The fit is bounded (``sample`` vectors); every row is encoded and searched.  The queries
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from vacantia.durable import persist
 
 BOOKS, WORDS, BEAM = 8, 64, 4
-BLOCK, LEAST_BLOCKS, MARGIN = 32_768, 8, 2.0
+BLOCK, LEAST_BLOCKS, MARGIN, AHEAD = 32_768, 8, 2.0, 8
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -156,11 +156,11 @@ class Block:
     def nearest(self, own: int, query: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best for one query, given its looked-up scores."""
         wide = query.astype(np.float64)
-        if len(row) > k + 1:
-            start = np.argpartition(row, len(row) - k - 1)[len(row) - k - 1 :]  # one more than k, as the query itself may be among them
-            exact = np.sort((self.vectors[start] * wide).sum(axis=1))
-            near = np.flatnonzero(row + MARGIN * float(np.linalg.norm(wide)) * self.spread >= exact[0])
-            near = near if len(near) > len(start) else start
+        some = AHEAD * (k + 1)
+        if len(row) > some:
+            start = np.argpartition(row, len(row) - some)[len(row) - some :]
+            least = np.sort((self.vectors[start] * wide).sum(axis=1))[-k - 1]  # one more than k, as the query itself may be among them
+            near = np.union1d(start, np.flatnonzero(row + MARGIN * float(np.linalg.norm(wide)) * self.spread >= least))
         else:
             near = np.arange(len(row))
         exact = (self.vectors[near] * wide).sum(axis=1)
