@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import ann, bpe, chat, exact, langid, lines, lm, mixing, secrets, simhash
+from vacantia.durable import persist, settled
+from vacantia.llm import ann, bpe, chat, codes, exact, jaccard, langid, lines, lm, mixing, repair, secrets, simhash
 from vacantia.llm.common import remainder
 
 
@@ -90,10 +94,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and a digest of what they make of every conversation, after damage."""
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")), F.col("present"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of shingles and the smallest id it is linked to."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, the error of its label, and a digest of the codebooks."""
+    rows, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    coded = persist(rows.select("vec_id", "label", F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"), "error"))
+    sums = persist(coded.groupBy(F.col("label").alias("__label")).agg(F.sum("error").alias("label_error")))
+    digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("__label"))).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_simhash, op3_exact_dedup, op4_secrets, op5_bpe, op6_lm_score, op7_chat_format, op8_line_dedup, op9_nearest, op10_mixing,
+        op11_conversation_repair, op12_jaccard_join, op13_vector_codes,
     )
 }
 
