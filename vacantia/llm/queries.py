@@ -121,6 +121,47 @@ QUERIES = {
     )
 }
 
+def vector_codes_sql() -> str:
+    """Assignment and mean, round after round, and the last assignment."""
+    steps = []
+
+    def near(out: str, book: str) -> None:
+        steps.append(f"""{out} as materialized (
+            select row, vec_id, label, part, x, arg_min(word, (d, word)) as word, min(d) as d from (
+                select p.*, b.word, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from p join {book} as b using (part)
+            ) group by row, vec_id, label, part, x
+        )""")
+
+    for k in range(codes.ROUNDS):
+        near(f"a{k}", f"b{k}")
+        steps.append(f"""b{k + 1} as materialized (
+            select b.part, b.word, case when m.x is null then b.x else m.x end as x from b{k} as b left join (
+                select part, word, list(v order by pos) as x from (
+                    select part, word, pos, ((sum(x[pos]) - ((sum(x[pos]) % count(*)) + count(*)) % count(*)) // count(*))::bigint as v from a{k}, places group by part, word, pos
+                ) group by part, word
+            ) as m using (part, word)
+        )""")
+    near("last", f"b{codes.ROUNDS}")
+    return f"""
+        with v as (
+            select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: floor(x::double * {codes.SCALE})::bigint) as vec from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0
+        ), p as materialized (
+            select row, vec_id, label, vec, part, vec[1 + part * (len(vec) // {codes.PARTS}) : (part + 1) * (len(vec) // {codes.PARTS})] as x from v, range({codes.PARTS}) as r(part)
+        ), places as materialized (
+            select pos from range(1, 1 + (select max(len(x)) from p)) as r(pos)
+        ), b0 as materialized (
+            select part, (row_number() over (partition by part order by vec_id nulls last, vec)) - 1 as word, x from p qualify word < {codes.WORDS}
+        ), {", ".join(steps)},
+        e as (
+            select row, vec_id, label, string_agg(printf('%02x', word), '' order by part) as code, sum(d)::bigint as error from last group by row, vec_id, label
+        )
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+            (select sha256(string_agg(v::varchar, ',' order by part, word, pos)) from (select part, word, pos, x[pos] as v from b{codes.ROUNDS}, places)) as codebooks_sha256
+        from e
+    """
+
+
 ORACLE_SQL = {
     "op3_exact_dedup": """
         with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as h from documents)
@@ -143,4 +184,61 @@ ORACLE_SQL = {
             sum(size)::bigint as formatted_chars
         from e group by conv_id
     """,
+    "op11_conversation_repair": r"""
+        with recursive h as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                xor(list_reduce(
+                    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint),
+                    lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end), xor(a, b)), 4294967295::bigint
+                ), 4294967295) % 20 as what
+            from conversations
+        ), d as (
+            select conv_id, turn, case what when 4 then 'user' else role end as role, case what when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                unnest(range(case what when 3 then 2 else 1 end)) as copy from h where what <> 0
+        ), o as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, text, seen) as i, case when role = '' then ' ' else role[1] end as initial
+            from (select *, row_number() over (partition by conv_id, role, text order by turn nulls first) as seen from d)
+        ), f as materialized (
+            select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when seen > 1 then 2 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 3 else 0 end as fault,
+                lag(initial) over (partition by conv_id order by i) as last from o
+        ), dp as (
+            select distinct conv_id, 0::bigint as i, '' as state, {'cost': 0, 'audit': '', 'said': ''} as best from f
+            union all
+            select conv_id, i + 1, to_state, min({'cost': cost, 'audit': audit, 'said': said}) from (
+                select dp.conv_id, dp.i, case e when 'D' then mid when 'K' then initial else case mid when 'u' then 'a' else 'u' end end as to_state,
+                    best.cost + 5 * k + case e when 'D' then 2 when 'K' then 0 else 1 end + case when fault = 3 and e <> 'D' then 5 else 0 end as cost,
+                    best.audit || case k when 1 then 'I' else '' end || e as audit,
+                    best.said || case k when 1 then chr(10) || case mid when 'u' then 'user:' else 'assistant:' end else '' end
+                        || case e when 'D' then '' when 'K' then chr(10) || role || ':' || text else chr(10) || case mid when 'u' then 'assistant' else 'user' end || ':' || text end as said
+                from (select *, case when k = 0 then state when state = 'u' then 'a' else 'u' end as mid from dp, (values (0), (1)) as inserted(k)) as dp
+                join f on f.conv_id is not distinct from dp.conv_id and f.i = dp.i + 1, (values ('D'), ('K'), ('R')) as edits(e)
+                where (e = 'D' or fault in (0, 3)) and (e <> 'K' or mid || initial in ('s', 'u', 'su', 'ua', 'au'))
+            ) group by conv_id, i, to_state
+        ), ends as (
+            select conv_id, min(case when state = 'u' then {'cost': best.cost + 5, 'audit': best.audit || 'I', 'said': best.said || chr(10) || 'assistant:'} else best end) as best
+            from dp join (select conv_id as c, max(i) as n from f group by conv_id) as sizes on c is not distinct from conv_id and n = i where state <> 's' group by conv_id
+        ), counts as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+                count(*) filter (fault = 3) as truncated, count(*) filter (last is not null and last || initial not in ('su', 'ua', 'au')) as illegal from f group by conv_id
+        )
+        select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+            coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(best.said[2:], '')) as repaired_sha256
+        from (select distinct conv_id from conversations) as c left join ends on ends.conv_id is not distinct from c.conv_id left join counts on counts.conv_id is not distinct from c.conv_id
+    """,
+    "op12_jaccard_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+        ), s as materialized (
+            select doc_id, list_distinct(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as tokens from w
+        ), t as materialized (
+            select doc_id, len(tokens) as n, unnest(tokens) as token from s
+        ), links as materialized (
+            select a.doc_id as a, b.doc_id as b from t as a join t as b on a.token = b.token and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach as (
+            select doc_id, doc_id as other from s union select doc_id, b from reach join links on other = a
+        )
+        select doc_id, len(tokens)::bigint as n_shingles, component_id from s join (select doc_id, min(other) as component_id from reach group by doc_id) using (doc_id)
+    """,
+    "op13_vector_codes": vector_codes_sql(),
 }

@@ -184,9 +184,10 @@ def faulty(rows: DataFrame, present: Column | None = None) -> DataFrame:
     filled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
     whole = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), *filled, (F.lit(True) if present is None else present).alias("present")).repartition("conv_id")
     again = F.row_number().over(Window.partitionBy("conv_id", "present", "role", "text").orderBy(F.col("turn").asc_nulls_first())) > 1
-    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), BLANK).when(again, DUPLICATE).when(~F.col("text").rlike(rf"[.!?]{space}*\z"), TRUNCATED).otherwise(0)
-    order = [F.col("turn").asc_nulls_first(), "role", "text", "fault"]
-    return whole.select("conv_id", "turn", "role", "text", fault.alias("fault"), "present").sortWithinPartitions("conv_id", *order)
+    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), BLANK).when(F.col("again"), DUPLICATE).when(~F.col("text").rlike(rf"[.!?]{space}*\z"), TRUNCATED).otherwise(0)
+    order = [F.col("turn").asc_nulls_first(), "role", "text", "again"]
+    marked = whole.withColumn("again", again).sortWithinPartitions("conv_id", *order)
+    return marked.select("conv_id", "turn", "role", "text", fault.alias("fault"), "present")
 
 
 def conversations(batches: Iterator[pa.RecordBatch], written) -> Iterator[tuple[object, Conversation]]:
