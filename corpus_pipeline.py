@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vacantia.llm import bpe, langid, lines, mixing, simhash
 from vacantia.llm.common import remainder
 from vacantia.llm.queries import vocabulary_path
-from vacantia.durable import drop, persist
+from vacantia.durable import drop, settled
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
+    """All stages on the documents of ``sf_dir``; what a stage wrote goes with its result's writing, its input after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        last, docs = docs, persist(stage(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        last, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
         drop(last)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
