@@ -52,12 +52,12 @@ def test_phrases_match_a_greedy_parse(spark):
     model = langid.Model(dict(samples), 3000)
     streams = []
     for k in model.languages:
-        parts = [np.append(model.squeeze([t])[0], np.uint8(langid.GAP)) for t in samples[k]]
+        parts = [np.append(model.squeeze([t])[0], np.int32(langid.GAP)) for t in samples[k]]
         share = max(200, 3000 // len(parts))
         stream = np.concatenate([p[:share] for p in parts])
         if len(stream) < 3000:
             stream = np.concatenate([stream, *(p[share:] for p in parts)])
-        streams.append(bytes(stream[: model.length]))
+        streams.append(stream[: model.length].astype(np.uint8).tobytes())
     parts = model.squeeze([t for _, t, _ in texts_of(spark)[60:70]])
     expected = []
     for part in parts:
@@ -65,7 +65,7 @@ def test_phrases_match_a_greedy_parse(spark):
         for stream in streams:
             phrases = 0
             for lo in range(0, len(part), langid.BLOCK):
-                block, held = bytes(part[lo : lo + langid.BLOCK]), b""
+                block, held = part[lo : lo + langid.BLOCK].astype(np.uint8).tobytes(), b""
                 for symbol in block:
                     if held + bytes([symbol]) in stream:
                         held += bytes([symbol])
@@ -74,7 +74,7 @@ def test_phrases_match_a_greedy_parse(spark):
                 phrases += 1
             row.append(phrases)
         expected.append(row)
-    assert model.phrases(parts).tolist() == expected
+    assert model.phrases(parts)[0].tolist() == expected
 
 
 def test_language_accuracy_and_awkward_texts(spark, make):
@@ -108,6 +108,26 @@ def test_a_language_of_one_line_harms_no_other(spark):
     assert sum(a == k for a, (_, k) in zip(named, held)) > 0.97 * len(held)
 
 
+def test_languages_of_thousands_of_letters():
+    """All letters count, also where two languages share a block of them and most are rare."""
+    rnd = random.Random(1500)
+    letters = {k: [chr(0x4E00 + i) for i in range(a, a + 1500)] for k, a in (("zz_a", 0), ("zz_b", 1500), ("zz_c", 750))}
+    word = lambda k, lo, hi: "".join(rnd.choice(letters[k][lo:hi]) for _ in range(rnd.randint(1, 4)))
+    text = lambda k, lo=0, hi=1500: " ".join(word(k, lo, hi) for _ in range(60))
+    samples = {k: [text(k) for _ in range(60)] for k in letters} | {"en": ["the words of it are plain words and so are these " * 9]}
+    model = langid.Model(samples, 20_000)
+    assert model.dense < 100 < 2000 < model.width
+    for k, lo, hi in (("zz_a", 0, 700), ("zz_b", 800, 1500)):  # letters of one language only
+        assert set(model.predict([text(k, lo, hi) for _ in range(50)])[0]) == {k}
+    assert model.predict(["the words are these"])[0] == ["en"]
+
+
+def test_one_id_repeated_does_not_swell_the_sample(spark, make):
+    rows = [(7, f"text {i} of one id", "en", "x") for i in range(900)] + [(i, "ein anderer text", "de", "x") for i in range(20, 40)]
+    model = langid.fit(make(rows), F.lit(True), sample_symbols=2000, sample_docs=50)
+    assert model.languages == ["de", "en"] and model.length <= 2000
+
+
 # ---- SimHash
 
 

@@ -4,7 +4,7 @@ A hash falls into one 64-bit word of the filter and sets three of its bits.  The
 ``word, bits`` has at most MOST_WORDS rows of 16 bytes, whatever it was built from, which
 is what makes its broadcast safe.  A probe may raise a false alarm, never miss.  A single
 filter only spares work and lets more through the fuller it is; where every key has to
-be told, keys are dealt to as many filters as hold them, one after another.
+be told, keys are dealt to as many filters as hold them.
 """
 
 from __future__ import annotations
@@ -27,11 +27,6 @@ def segments_for(n: int) -> int:
     return max(1, -(-n * BITS_A_KEY // (64 * MOST_WORDS)))
 
 
-def segment(key: Column, segments: int) -> Column:
-    """The filter that a key belongs to, from bits that no filter looks at."""
-    return F.pmod(F.shiftrightunsigned(key, 40), F.lit(segments)).cast("int")
-
-
 def _word(key: Column, words: int) -> Column:
     return F.pmod(F.shiftright(key, 18), F.lit(words))
 
@@ -40,12 +35,10 @@ def _bits(key: Column) -> list[Column]:
     return [F.shiftright(key, at).bitwiseAND(63).cast("int") for at in (0, 6, 12)]
 
 
-def build(keys: DataFrame, key: Column, words: int, twice: bool = False) -> DataFrame:
-    """``word, bits`` of the keys; with ``twice`` only the bits that two rows or more have hit."""
-    hits = keys.select(_word(key, words).alias("word"), F.explode(F.array_distinct(F.array(*_bits(key)))).alias("bit"))
-    hits = hits.groupBy("word", "bit").count()
-    hits = hits.where("count > 1") if twice else hits
-    return hits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+def build(keys: DataFrame, key: Column, words: int) -> DataFrame:
+    """``word, bits`` of the keys, one row a word and task before the shuffle."""
+    first, second, third = (F.call_function("shiftleft", F.lit(1).cast("long"), b) for b in _bits(key))
+    return keys.select(_word(key, words).alias("word"), first.bitwiseOR(second).bitwiseOR(third).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
 def probe(rows: DataFrame, key: Column, table: DataFrame, words: int, name: str) -> DataFrame:

@@ -3,14 +3,14 @@
 Texts are equal when they are identical after lower-casing A-Z; the SHA-256 of that form
 stands for the text, so no text is shuffled.
 
-Pass 1 puts each hash into a blocked Bloom filter (one 64-bit word a hash, three bits in
-it) and keeps the bits that were hit more than once.  Pass 2 probes those bits: a hash
-with all three set may be repeated, and only such rows are shuffled and grouped; every
-other row is alone and passes straight through.  A false alarm costs one shuffled row
-and changes no result.  A filter has 16 bits a row and a fixed size at most, so the
-broadcast has a bound; a larger input has several, each for its own part of the hashes,
-built and probed one after another over the narrow table of ids and hashes, which is
-stored by that part.  So filters never fill up, whatever the input.
+Pass 1 is a Bloom filter of one bit a hash that counts its hits: bits of SPACE times the
+rows, of which a row sends one number (summed before the shuffle); the bits that were hit
+more than once go into a second, blocked filter.  Pass 2 probes that one: a hash that it
+holds may be repeated, and only such rows are shuffled and grouped; every other row is
+alone and passes straight through.  A false alarm costs one shuffled row and changes no
+result.  The second filter has a fixed size at most, so its broadcast has a bound; where
+more bits repeat than it holds there are several, each for its own part of the bits, and
+the narrow table of ids and hashes, stored in folders by such parts, is read once in all.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest
 ``doc_id`` stays, of repeated rows with that id exactly one; a null id is smaller than
@@ -27,23 +27,26 @@ from pyspark.sql import functions as F
 from vacantia.durable import persist
 from vacantia.llm import bloom
 
+SPACE = 32  # bits a row of the first filter
+
 
 def normalised(text: Column) -> Column:
     """A-Z in lower case, null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def possibly_repeated(rows: DataFrame, hashed: str, n: int) -> DataFrame:
-    """``rows`` with a boolean column ``repeated``: false only if no other row has this 64-bit hash.
+def possibly_repeated(rows: DataFrame, n: int, segments: int) -> DataFrame:
+    """``rows`` with a boolean column ``repeated``: false only if no other row has this hash.
 
-    ``rows`` has a column ``segment``: its keys are dealt to ``bloom.segments_for(n)`` filters.
+    ``rows`` has columns ``slot``, below SPACE * n, and ``segment``, of ``segments`` parts of the slots.
     """
-    segments, flagged = bloom.segments_for(n), None
-    words = bloom.words_for(-(-n // segments))
-    for s in range(segments):
-        part = rows.where(F.col("segment") == s)
-        part = bloom.probe(part, F.col(hashed), bloom.build(part, F.col(hashed), words, twice=True), words, "repeated")
-        part = part if segments == 1 else persist(part)
+    again = persist(rows.groupBy("slot", "segment").count().where("count > 1").select(F.xxhash64("slot").alias("slot"), "segment"))
+    many = again.count()
+    filters = min(segments, bloom.segments_for(many))
+    words, flagged = bloom.words_for(-(-many // filters)), None
+    for f in range(filters):
+        mine = F.col("segment").between(f * segments // filters, (f + 1) * segments // filters - 1)
+        part = bloom.probe(rows.where(mine), F.xxhash64("slot"), bloom.build(again.where(mine), F.col("slot"), words), words, "repeated")
         flagged = part if flagged is None else flagged.unionByName(part)
     return flagged
 
@@ -54,9 +57,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = docs.select(F.col(id_column).alias("doc_id"), sha.alias("text_sha256")).withColumn("hashed", F.xxhash64("text_sha256"))
     n = docs.count()
     segments = bloom.segments_for(n)
-    rows = rows.withColumn("segment", bloom.segment(F.col("hashed"), segments))
+    rows = rows.select("doc_id", "text_sha256", F.pmod("hashed", F.lit(SPACE * max(1, n))).alias("slot")).withColumn("segment", F.pmod("slot", F.lit(segments)).cast("int"))
     rows = persist(rows, partition_by=["segment"] if segments > 1 else None)
-    flagged = possibly_repeated(rows, "hashed", n)
+    flagged = possibly_repeated(rows, n, segments)
     alone = flagged.where(~F.col("repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )

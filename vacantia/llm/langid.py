@@ -3,19 +3,25 @@
 For each language a suffix automaton is built over a bounded sample of labelled text.  A
 text is parsed greedily against each automaton into phrases, every phrase being the
 longest match found anywhere in the sample; a phrase names one of the m places of the
-sample or one of w symbols, so c phrases cost c * log2(m + w) / n bits a symbol over a
-text of n symbols, and the language with the lowest cost wins.  Every language keeps its
+sample or says that a symbol follows which the sample lacks, one of w, so c phrases and e
+such symbols cost (c * log2(m + 1) + e * log2(w)) / n bits a symbol over a text of n
+symbols, and the language with the lowest cost wins.  Every language keeps its
 own sample, up to ``sample_symbols``; the price of a phrase makes samples of different
 length comparable, so one language with little labelled text takes nothing from others.
 
 Only the fit is bounded (``sample_symbols`` a language, from at most ``sample_docs``
-documents in expectation); prediction parses every whole text.  Texts are parsed in
+documents in expectation, at most twice as many); prediction parses every whole text.  Texts are parsed in
 blocks of BLOCK symbols, each starting at the automaton's root, which adds less than one
 phrase a block for every language alike and lets numpy step through many blocks at once.
-The automata travel as one broadcast whose size the sample bounds.  No shuffle of texts.
+Every letter of the samples is a symbol of its own.  Ways on by the DENSE most frequent
+ones stand in a table that is indexed by state and symbol, ways by other letters in a
+sorted list that is searched, so an alphabet of thousands of letters costs no more memory
+than its sample.  The automata travel as one broadcast whose size the sample bounds.  No
+shuffle of texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal
-costs go to the language first by code point; repeated rows are judged each; no labelled
+costs go to the language first by code point; a letter that no sample has is one symbol, the
+same for all languages; repeated rows are judged each; no labelled
 text at all makes every row ``und``; other columns are not looked at by ``predict`` and
 pass through ``keep_known`` untouched.
 """
@@ -26,13 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import by_batch, slices
 
 UNKNOWN = "und"
-BLOCK = 256
+BLOCK, DENSE = 256, 96
 GAP, OTHER = 1, 2  # symbols of anything between words, and of letters that no sample has; 0 pads
 ROWS_AT_ONCE = 4096
 
@@ -87,20 +93,17 @@ class Model:
     def __init__(self, samples: dict[str, list[str]], sample_symbols: int):
         self.languages = sorted(samples)
         folded = {k: [np.array([fold(c) for c in code_points(t)], dtype=np.int64) for t in texts] for k, texts in samples.items()}
-        letters = sorted({int(c) for texts in folded.values() for t in texts for c in np.unique(t)} - {0})
-        if len(letters) > 250:  # the most frequent ones; the rest are OTHER
-            values, counts = np.unique(np.concatenate([t for texts in folded.values() for t in texts]), return_counts=True)
-            order = np.lexsort((values, -counts))
-            letters = sorted([int(v) for v in values[order] if v][:250])
+        values, counts = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(t for texts in folded.values() for t in texts)]), return_counts=True)
+        letters = [int(v) for v in values[np.lexsort((values, -counts))] if v]  # the most frequent first
         number = {c: i + 3 for i, c in enumerate(letters)}
-        self.symbols = np.full(0x110000, GAP, dtype=np.uint8)
+        self.symbols = np.full(0x110000, GAP, dtype=np.int32)
         for code in range(0x110000):
             if not 0xD800 <= code < 0xE000 and (low := fold(code)):
                 self.symbols[code] = number.get(low, OTHER)
-        width = len(letters) + 3
+        self.width, self.dense = len(letters) + 3, min(len(letters), DENSE) + 3
         streams = []
         for k in self.languages:
-            parts = [np.append(self.squeeze([t])[0], np.uint8(GAP)) for t in samples[k]]
+            parts = [np.append(self.squeeze([t])[0], np.int32(GAP)) for t in samples[k]]
             share = max(200, sample_symbols // max(1, len(parts)))
             stream = np.concatenate([p[:share] for p in parts])
             if len(stream) < sample_symbols:
@@ -109,19 +112,35 @@ class Model:
         self.lengths = np.array([len(s) for s in streams], dtype=np.int64)
         self.length = int(self.lengths.max(initial=0))
         tables, base = [], 1  # state 0 means that there is no way on
-        self.roots = []
+        self.roots, rare = [], []
         for stream in streams:
             machine = SuffixAutomaton(stream.tolist())
-            table = np.zeros((len(machine.next), width), dtype=np.int32)
+            table = np.zeros((len(machine.next), self.dense), dtype=np.int32)
             for state, ways in enumerate(machine.next):
                 for s, to in ways.items():
-                    table[state, s] = to + base
+                    if s < self.dense:
+                        table[state, s] = to + base
+                    else:
+                        rare.append(((state + base) * self.width + s, to + base))
             table[:, 0] = np.arange(base, base + len(table))  # padding leaves the state alone
             self.roots.append(base)
             tables.append(table)
             base += len(table)
-        self.table = np.concatenate([np.zeros((1, width), dtype=np.int32), *tables]) if tables else np.zeros((1, width), dtype=np.int32)
-        self.width = width
+        self.table = np.concatenate([np.zeros((1, self.dense), dtype=np.int32), *tables])
+        rare.sort()
+        self.rare_keys = np.array([k for k, _ in rare] + [np.iinfo(np.int64).max], dtype=np.int64)
+        self.rare_ways = np.array([w for _, w in rare] + [0], dtype=np.int32)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The states that symbols (one a column) lead to from states (languages x columns); 0 where there is no way."""
+        common = column < self.dense
+        if common.all():
+            return self.table.reshape(-1)[state * self.dense + column]
+        to = self.table.reshape(-1)[state * self.dense + np.where(common, column, 0)]
+        keys = state[:, ~common].astype(np.int64) * self.width + column[~common]
+        at = np.searchsorted(self.rare_keys, keys)
+        to[:, ~common] = np.where(self.rare_keys[at] == keys, self.rare_ways[at], 0)
+        return to
 
     def squeeze(self, texts: list[str]) -> list[np.ndarray]:
         """Symbols of each text, with one GAP for whatever stands between words and none at the ends."""
@@ -141,49 +160,52 @@ class Model:
             out.append(part)
         return out
 
-    def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of each part against each language."""
+    def phrases(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of phrases of each part against each language, and of symbols that the language's sample lacks."""
         blocks = [-(-len(p) // BLOCK) for p in parts]
         total = sum(blocks)
-        grid = np.zeros((total, BLOCK), dtype=np.uint8)
+        grid = np.zeros((total, BLOCK), dtype=np.int32)
         row = 0
         for p, n in zip(parts, blocks):
             grid[row : row + n].reshape(-1)[: len(p)] = p
             row += n
-        counts = np.zeros((total, len(self.languages)), dtype=np.int64)
-        flat, roots = self.table.reshape(-1), np.array(self.roots, dtype=np.int32)[:, None]
+        counts, lacks = (np.zeros((total, len(self.languages)), dtype=np.int64) for _ in range(2))
+        roots = np.array(self.roots, dtype=np.int32)[:, None]
         for lo in range(0, total, ROWS_AT_ONCE):
-            tile = np.ascontiguousarray(grid[lo : lo + ROWS_AT_ONCE].T).astype(np.int32)
+            tile = np.ascontiguousarray(grid[lo : lo + ROWS_AT_ONCE].T)
             state = np.repeat(roots, tile.shape[1], axis=1)
-            count = np.zeros_like(state)
+            count, lack = np.zeros_like(state), np.zeros_like(state)
             for column in tile:
-                to = flat[state * self.width + column]
+                to = self.step(state, column)
                 stuck = to == 0
                 count += stuck
-                again = flat[roots * self.width + column]
-                state = np.where(stuck, np.where(again == 0, roots, again), to)
-            counts[lo : lo + ROWS_AT_ONCE] = (count + 1).T
+                again = self.step(np.broadcast_to(roots, state.shape), column)
+                new = stuck & (again == 0)
+                lack += new
+                state = np.where(stuck, np.where(new, roots, again), to)
+            counts[lo : lo + ROWS_AT_ONCE], lacks[lo : lo + ROWS_AT_ONCE] = (count + 1).T, lack.T
         owner = np.repeat(np.arange(len(parts)), blocks)
-        out = np.zeros((len(parts), len(self.languages)), dtype=np.int64)
-        np.add.at(out, owner, counts)
-        return out
+        out = np.zeros((2, len(parts), len(self.languages)), dtype=np.int64)
+        np.add.at(out[0], owner, counts)
+        np.add.at(out[1], owner, lacks)
+        return out[0], out[1]
 
-    def phrase_bits(self) -> np.ndarray:
-        """Bits that a phrase costs against each language."""
-        return np.log2(self.lengths + self.width)
+    def bits(self, parts: list[np.ndarray]) -> np.ndarray:
+        """What each part costs against each language."""
+        phrases, lacks = self.phrases(parts)
+        return phrases * np.log2(self.lengths + 1) + lacks * np.log2(self.width)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score (how far the second best is behind, 0 to 1), and bits a symbol of the best."""
         parts = self.squeeze([t or "" for t in texts])
         known = [bool(len(p)) and len(self.languages) > 0 for p in parts]
-        found = self.phrases([p for p, k in zip(parts, known) if k]) if any(known) else np.zeros((0, 1))
-        bits, row = self.phrase_bits(), 0
+        found, row = self.bits([p for p, k in zip(parts, known) if k]) if any(known) else np.zeros((0, 1)), 0
         names, scores, costs = [], [], []
         for part, k in zip(parts, known):
             if not k:
                 names.append(UNKNOWN), scores.append(0.0), costs.append(0.0)
                 continue
-            c = found[row] * bits
+            c = found[row]
             row += 1
             best = int(np.argmin(c))
             second = float(np.partition(c, 1)[1]) if len(c) > 1 else 0.0
@@ -196,7 +218,7 @@ class Model:
 def fit(docs: DataFrame, train: Column, sample_symbols: int = 40_000, sample_docs: int = 120, seed: int = 7) -> Model:
     """Fit on rows where ``train`` holds and ``lang`` and ``text`` are not null.
 
-    The sample is bounded: about ``sample_docs`` documents a language by hash of the id
+    The sample is bounded: about ``sample_docs`` documents a language by hash of id and text
     (all, where there are fewer), of which ``sample_symbols`` symbols are used.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -204,12 +226,14 @@ def fit(docs: DataFrame, train: Column, sample_symbols: int = 40_000, sample_doc
     if not counts:
         return Model({}, sample_symbols)
     space = 1 << 40
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(space))
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(space))
     most = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(space, space * sample_docs // n)))])
     picked = (
         rows.where(at < most[F.col("lang")])
-        .select("lang", at.alias("at"), F.substring("text", 1, sample_symbols).alias("text")).collect()
+        .select("lang", at.alias("at"), F.substring("text", 1, sample_symbols).alias("text"))
     )
+    # rows that repeat id and text are picked together; of them so many stay that the sample keeps its bound
+    picked = picked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("place") <= 2 * sample_docs).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["at"], r["text"])):
         if any(map(str.isalpha, r["text"])):

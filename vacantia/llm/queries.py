@@ -113,11 +113,16 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.join(sums, F.col("label").eqNullSafe(F.col("__label"))).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def written(query):
+    """The query's result as a table; what its operator has written on the way is deleted."""
+    return functools.wraps(query)(lambda spark, sf_dir: settled(lambda: query(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_simhash, op3_exact_dedup, op4_secrets, op5_bpe, op6_lm_score, op7_chat_format, op8_line_dedup, op9_nearest, op10_mixing,
-        op11_conversation_repair, op12_jaccard_join, op13_vector_codes,
+        op1_language_id, written(op2_simhash), written(op3_exact_dedup), op4_secrets, op5_bpe, written(op6_lm_score), op7_chat_format, written(op8_line_dedup), written(op9_nearest), written(op10_mixing),
+        op11_conversation_repair, written(op12_jaccard_join), written(op13_vector_codes),
     )
 }
 
