@@ -149,6 +149,7 @@ def test_join_where_most_tokens_are_frequent(spark, make, monkeypatch, frequent)
     """Pairs of frequent tokens, tiles of few sets, and buckets that first links leave open."""
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "CROWDED", 8)
     rnd = random.Random(frequent)
     base = " ".join(f"b{i}" for i in range(70))
     rows = list(enumerate([*variants(rnd, base, 90, 6), *variants(rnd, base + " " + base[:60], 40, 4), *variants(rnd, " ".join(f"c{i}" for i in range(400)), 40, 30)]))

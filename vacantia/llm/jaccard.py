@@ -17,7 +17,7 @@ Frequent passages so lead to a bucket only together.  Buckets are looked at in o
 size: every set meets the two before it, and only sets with a similar size three places
 away stay for a full comparison, which leaves out pairs that the first links have already
 connected and cuts crowded buckets into tiles.  Candidates carry bitmaps of their tokens
-(4 to 8 bits each, folded to one length), whose difference bounds the overlap from above;
+(4 to 8 bits each, a quarter of that for neighbours, folded to one length), whose difference bounds the overlap from above;
 only pairs that pass are verified by their whole token sets, read from the texts again.
 Equal sets are one set from the start.  Components come from distributed rounds.
 
@@ -48,7 +48,7 @@ from vacantia.operators.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORDS, PERCENT, LEAST = 4, 85, 6  # sets of fewer tokens than LEAST are similar to equal ones only
-COUNTERS, FREQUENT, TILE = 1 << 20, 64, 1024
+COUNTERS, FREQUENT, TILE, CROWDED = 1 << 20, 64, 1024, 64
 NEAR = 2  # neighbours that every set of a bucket meets
 
 
@@ -109,9 +109,9 @@ def signatures(t: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate([single, np.unique(np.concatenate(found))]) if found else single, len(single)
 
 
-def bitmap(t: np.ndarray) -> bytes:
-    """4 to 8 bits a token; half as long ones of other sets are its halves, one upon the other."""
-    size = max(64, 1 << len(t).bit_length() + 2)
+def bitmap(t: np.ndarray, less: int = 0) -> bytes:
+    """4 to 8 bits a token, halved ``less`` times; a half as long one is its halves, one upon the other."""
+    size = max(64, 1 << len(t).bit_length() + 2 - less)
     bits = np.zeros(size, dtype=np.uint8)
     bits[(_spread(t.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -156,7 +156,7 @@ def frequent_counters(docs: DataFrame) -> np.ndarray:
 
 
 def token_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, mark, sid, n, single, sigs, bits`` of every row: signatures, the first ``single`` of them rare tokens; an empty set has no ``sid``."""
+    """``doc_id, mark, sid, n, single, sigs, bits, small`` of every row: signatures, the first ``single`` of them rare tokens; an empty set has no ``sid``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +166,12 @@ def token_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             signed = [signatures(t, shared.value) for t in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array([len(t) for t in found], pa.int32()), pa.array([k for _, k in signed], pa.int32()),
-                 pa.array([s for s, _ in signed], pa.list_(pa.int64())), pa.array([bitmap(t) if len(t) >= LEAST else b"" for t in found], pa.binary())],
-                ["doc_id", "mark", "sid", "n", "single", "sigs", "bits"],
+                 pa.array([s for s, _ in signed], pa.list_(pa.int64())), *(pa.array([bitmap(t, less) if len(t) >= LEAST else b"" for t in found], pa.binary()) for less in (0, 2))],
+                ["doc_id", "mark", "sid", "n", "single", "sigs", "bits", "small"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_batch(docs.select("doc_id", F.xxhash64(docs["text"]).alias("mark"), "text"), run, f"doc_id {kind}, mark long, sid long, n int, single int, sigs array<long>, bits binary")
+    return by_batch(docs.select("doc_id", F.xxhash64(docs["text"]).alias("mark"), "text"), run, f"doc_id {kind}, mark long, sid long, n int, single int, sigs array<long>, bits binary, small binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,9 +194,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose bitmaps allow a link."""
-    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("bits").alias("p"))
-    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q"))
+    """The pairs ``a, b`` whose small bitmaps allow a link."""
+    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("small").alias("p"))
+    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("small").alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,13 +251,15 @@ def across(crowd: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     rows = crowd.join(members.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", "place", F.coalesce("component", "sid").alias("component"))
     rows = persist(rows)
     open_ = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig", "size")
-    open_ = persist(open_)
+    opened = persist(rows.join(open_, "sig"))
+    # a set's own crowded signatures: a pair of one is looked at under the first that it shares
+    about = opened.groupBy("sid").agg(F.collect_set(F.when(F.col("size") > CROWDED, F.col("sig"))).alias("sigs")).join(sets.select("sid", "n", "bits"), "sid")
     tiled = (
-        rows.join(open_, "sig").selectExpr("sig", "sid", "place", "component", f"cast(ceil(size / {TILE}) as int) as t")
+        opened.selectExpr("sig", "sid", "place", "component", f"cast(ceil(size / {TILE}) as int) as t")
         .selectExpr("sig", "sid", "place", "component", "t", "cast(pmod(xxhash64(sid), t) as int) as own")
         .selectExpr("sig", "sid", "place", "component", "own", "explode(transform(sequence(0, t - 1), j -> struct(least(own, j) as i, greatest(own, j) as j))) as tile")
         .select("sig", "tile.i", "tile.j", "own", "sid", "place", "component")
-        .join(sets.select("sid", "n", "bits"), "sid").select("sig", "i", "j", "own", "sid", "place", "component", "n", "bits")
+        .join(about, "sid").select("sig", "i", "j", "own", "sid", "place", "component", "n", "bits", "sigs")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +278,14 @@ def across(crowd: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
 
     key = ["sig", "i", "j"]
     found = persist(by_batch(tiled.repartition(*key).sortWithinPartitions(*key, "n"), run, "a long, b long").distinct())
-    drop(rows, open_)
+    drop(rows, opened)
     return found
 
 
 def _tile(table: pa.Table) -> pa.RecordBatch:
-    """Pairs of a tile in order of size: of different components, of both its sides if it has two, and with bitmaps that allow a link."""
+    """Pairs of a tile in order of size: of different components, of both its sides if it has two, with bitmaps that allow a link, and that share no lesser crowded signature."""
+    sig = table.column("sig")[0].as_py()
+    lesser = [{s for s in of if s < sig} for of in table.column("sigs").to_pylist()]
     sid, component, own, n, place = (table.column(c).to_numpy() for c in ("sid", "component", "own", "n", "place"))
     n = n.astype(np.int64)
     left = n - place
@@ -304,6 +308,7 @@ def _tile(table: pa.Table) -> pa.RecordBatch:
             if len(later):
                 shared = most_shared(grid[at][None], grid[later], n[r], n[rest[later]])
                 hit = rest[later[can_link(shared, n[r], n[rest[later]])]]
+                hit = hit[np.fromiter((lesser[r].isdisjoint(lesser[k]) for k in hit), dtype=bool, count=len(hit))]
                 a.append(np.minimum(sid[hit], sid[r])), b.append(np.maximum(sid[hit], sid[r]))
     none = [np.empty(0, dtype=np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], ["a", "b"])
@@ -328,7 +333,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: its set's size and the smallest id reachable through links."""
     rows = persist(token_sets(docs, frequent_counters(docs)))
     narrow = persist(rows.select("doc_id", "sid", "n"))
-    sets = persist(rows.where(f"n >= {LEAST}").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("single").alias("single"), F.min(F.struct("doc_id", "mark")).alias("first"), F.any_value("sigs").alias("sigs"), F.any_value("bits").alias("bits")))
+    sets = persist(rows.where(f"n >= {LEAST}").groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("single").alias("single"), F.min(F.struct("doc_id", "mark")).alias("first"), F.any_value("sigs").alias("sigs"), F.any_value("bits").alias("bits"), F.any_value("small").alias("small")))
     drop(rows)
     found = links(docs, sets)
     drop(sets)
