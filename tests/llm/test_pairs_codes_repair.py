@@ -207,3 +207,9 @@ def test_grid_finds_the_nearest(monkeypatch):
             index, distance = grid.nearest(x)
             d = ((x[:, None, :] - book[None]) ** 2).sum(-1)
             assert (index == d.argmin(1)).all() and (distance == d.min(1)).all()
+
+
+def test_long_conversations_of_one_kind_are_searched_quickly():
+    for roles, fault in ((["user"], 0), (["user", "assistant", "assistant"], 3), (["x"], 3), (["system", "user"], 0), (["assistant", "user"], 1)):
+        rows = [repair.Row(roles[i % len(roles)], "t", fault if i % 2 else 0) for i in range(repair.BLOCK)]
+        assert repair.search(rows, repair.START, repair.ENDS) == brute_repair(rows)

@@ -7,8 +7,9 @@ truncated row that stays costs 5 more.  The cheapest edits are found, of equally
 those whose letters are least in ASCII order.
 
 The search keeps an explicit stack of (row, grammar state, cost, letters so far).  A node
-goes when its cost and the least that the rows after it cost whatever the grammar says are
-above the incumbent, or equal and its letters are greater; or when the table of its row
+goes when its cost and the least that the rows after it can cost from its state (letters
+left aside, a table from the last row to the first) are above the incumbent, or equal and
+its letters are greater; or when the table of its row
 and state holds cheaper, or equally cheap and lesser letters.  (Of equally cheap letters
 up to one node none is the beginning of the other, as longer ones hold more insertions, so
 what is lesser stays lesser.)  An empty stack proves the incumbent.
@@ -48,7 +49,7 @@ AFTER = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (USER, "
 DUE = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 ROLE = {USER: "user", ASSISTANT: "assistant"}
 ENDS = (START, ASSISTANT)
-REROLE, DELETE, INSERT, CUT = 1, 2, 5, 5
+REROLE, DELETE, INSERT, CUT, NEVER = 1, 2, 5, 5, float("inf")
 
 
 class Row(NamedTuple):
@@ -61,18 +62,38 @@ class Row(NamedTuple):
         return self.role[:1] or " "
 
 
+def least(rows: list[Row], goals: tuple[int, ...]) -> list[list[float]]:
+    """Least cost of the rows from each one on and each state, to one of ``goals``; letters left aside."""
+
+    def inserted(here: list[float]) -> list[float]:
+        for _ in STATES:
+            here = [min(c, INSERT + here[DUE[s]]) for s, c in enumerate(here)]
+        return here
+
+    out = [inserted([0 if s in goals else NEVER for s in STATES])]
+    for row in reversed(rows):
+        after, here = out[-1], []
+        for s in STATES:
+            cost = DELETE + after[s]
+            if row.fault not in (BLANK, DUPLICATE):
+                stays = min(REROLE + after[DUE[s]], after[AFTER[s, row.initial]] if (s, row.initial) in AFTER else NEVER)
+                cost = min(cost, stays + (CUT if row.fault == TRUNCATED else 0))
+            here.append(cost)
+        out.append(inserted(here))
+    return out[::-1]
+
+
 def search(rows: list[Row], entry: int, goals: tuple[int, ...]) -> tuple[int, str] | None:
     """Least cost and letters that lead from ``entry`` through all rows to one of ``goals``."""
     n = len(rows)
-    rest = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        rest[i] = rest[i + 1] + (DELETE if rows[i].fault else 0)
+    rest = least(rows, goals)
     best: tuple[int, str] | None = None
     table: list[dict[int, tuple[int, str]]] = [{} for _ in range(n + 1)]
     stack = [(0, entry, 0, "")]
     while stack:
         i, state, cost, letters = stack.pop()
-        if best and (cost + rest[i], letters) > (best[0], best[1][: len(letters)]):
+        bound = cost + rest[i][state]
+        if bound == NEVER or best and (bound, letters) > (best[0], best[1][: len(letters)]):
             continue
         seen = table[i].get(state)
         if seen and seen <= (cost, letters):
@@ -89,7 +110,7 @@ def search(rows: list[Row], entry: int, goals: tuple[int, ...]) -> tuple[int, st
                 if (to := AFTER.get((state, row.initial))) is not None:
                     ways.append((i + 1, to, more, letters + "K"))
                 ways.append((i + 1, DUE[state], more + REROLE, letters + "R"))
-        ways.sort(key=lambda w: (w[2] + rest[w[0]], w[3]), reverse=True)  # the most promising on top
+        ways.sort(key=lambda w: (w[2] + rest[w[0]][w[1]], w[3]), reverse=True)  # the most promising on top
         stack += ways
     return best
 
