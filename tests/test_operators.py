@@ -134,3 +134,36 @@ def test_sequences_have_no_gaps(spark):
     got = tables.next_sequences(rows, 10, F.col("k")).orderBy("k").collect()
     assert [r["sequence"] for r in got] == list(range(11, 511))
     assert tables.next_sequences(rows.limit(0), 10, F.col("k")).count() == 0
+
+
+def test_phrase_index_gives_what_all_concepts_give(spark, monkeypatch):
+    from vacantia.operators import titles
+
+    ready = titles.prepare(spark, titles.standard())
+    said = ["Senior Data Engineer", "Data Senior Engineer", "Cloud Solutions Consultant", "Growth Product Owner II", "data", "", "Head of Talent Acquisition", "Machine Learning Engineer", "Security", "Full-Stack Software Developer", None]
+    rows = spark.createDataFrame([(s,) for s in said], "title string")
+    met = sorted(map(repr, titles.analyze(rows, ready).collect()))
+    monkeypatch.setattr(titles, "met_concepts", lambda rows, ready: rows.withColumn("pool", ready.column()))
+    assert met == sorted(map(repr, titles.analyze(rows, ready).collect())) and len(met) == len(said) - 1
+
+
+def test_tags_are_longest_first_then_leftmost(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from vacantia.operators import tagging
+
+    rnd = random.Random(4)
+    phrases = {" ".join(rnd.choices("abc", k=rnd.randint(1, 4))) for _ in range(14)}
+    rows = [(i, " ".join(rnd.choices("abcd", k=rnd.randint(0, 40)))) for i in range(60)] + [(100, None), (101, "")]
+    expected = set()
+    for i, text in rows:
+        words, taken = (text or "").split(), []
+        runs = sorted((-n, s) for n in range(1, 5) for s in range(len(words) - n + 1) if " ".join(words[s : s + n]) in phrases)
+        for size, s in runs:
+            if all(s - size <= a or b <= s for a, b in taken):
+                taken.append((s, s - size))
+        expected |= {(i, a, b - a) for a, b in taken}
+    table = spark.createDataFrame([(p,) for p in phrases], "alias string")
+    got = tagging.tag(spark.createDataFrame(rows, "id long, text string"), table, "id", F.split("text", " "))
+    assert {(r["id"], r["start"], r["n"]) for r in got.collect()} == expected and got.count() == len(expected)

@@ -1,10 +1,12 @@
 """Titles against a catalog of role families and concepts, and against each other.
 
 The catalog is a parameter: a list of families and concepts (``read_catalog`` takes a
-JSON file).  Its phrases are normalised by the same column functions as the titles, once,
-and travel as one constant array.  Titles are made distinct first; each is scored against
-every concept with higher-order functions, so a table with a billion postings and a
-million distinct titles scores a million rows, without a join or Python.
+JSON file, ``standard`` makes one by rule).  Its phrases are normalised by the same column
+functions as the titles, once.  Titles are made distinct first; a phrase index (a posting
+row for each phrase and concept) meets the runs of words of a title by equality, and only
+concepts that a title meets are scored for it, with higher-order functions.  A concept
+that shares no phrase and no word with a title gets less than any threshold, so nothing is
+lost, and the work grows with the matches instead of titles times phrases.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as X
+from vacantia.operators.tagging import matches as phrase_matches
 
 
 @dataclass
@@ -145,6 +148,51 @@ def _prepare(spark: SparkSession, catalog: Catalog) -> Prepared:
     return Prepared(pack(done), pack(families), catalog)
 
 
+def standard() -> Catalog:
+    """Ten families of five roles each, made by rule: fields of work, the head word of their titles, and words that stand for it."""
+    plan = {
+        "software_engineering": ("engineering", "engineer", ["developer", "programmer"], ["software", "backend", "frontend", "full stack", "mobile"]),
+        "data_platform": ("engineering", "engineer", ["developer"], ["data", "etl", "data platform", "data warehouse", "big data"]),
+        "data_analytics": ("analysis", "analyst", ["specialist"], ["data", "business", "reporting", "financial", "marketing analytics"]),
+        "ai_ml_science": ("engineering", "scientist", ["researcher"], ["data", "machine learning", "applied ai", "deep learning", "computer vision"]),
+        "product": ("management", "manager", ["owner"], ["product", "technical product", "growth product", "platform product", "digital product"]),
+        "cloud_devops_security": ("engineering", "engineer", ["administrator", "specialist"], ["devops", "cloud", "site reliability", "security", "network"]),
+        "quality_assurance": ("quality", "tester", ["engineer", "analyst"], ["qa", "quality assurance", "test automation", "performance test", "manual test"]),
+        "design_research": ("design", "designer", ["researcher"], ["ux", "ui", "interaction", "visual", "service design"]),
+        "talent_acquisition": ("recruiting", "recruiter", ["sourcer", "coordinator"], ["technical", "talent acquisition", "executive", "campus", "hr"]),
+        "architecture_solutions": ("solutions", "architect", ["consultant"], ["solutions", "enterprise", "cloud solutions", "integration", "security solutions"]),
+    }
+    families, concepts = [], []
+    for family, (group, head, others, fields) in plan.items():
+        families.append(Family(family, group, [f"{f} {h}" for f in fields for h in (head, *others)]))
+        names = [f"{f} {head}".replace(" ", "_") for f in fields]
+        for f, name in zip(fields, names):
+            concepts.append(Concept(name, family, f"{f} {head}", [f"{f} {h}" for h in others], [], [[f], [head, *others]], [n for n in names if n != name]))
+    return Catalog(families, concepts)
+
+
+def postings(spark: SparkSession, ready: Prepared) -> DataFrame:
+    """``alias, names``: a row for each phrase and word of the catalog, with the concepts that it speaks for."""
+    found: dict[str, set[str]] = {}
+    for c in ready.plain().values():
+        for p in [c["title"], *c["aliases"], *c["abbreviations"], *c["tokens"], *c["phrases"], *(s for g in c["synonyms"] for s in g)]:
+            if p:
+                found.setdefault(p, set()).add(c["name"])
+    return spark.createDataFrame([(p, sorted(n)) for p, n in sorted(found.items())], "alias string, names array<string>")
+
+
+def met_concepts(rows: DataFrame, ready: Prepared) -> DataFrame:
+    """``rows`` with ``pool``: the concepts whose phrases stand in a title's signal or normal form."""
+    spark = rows.sparkSession
+    texts = rows.select("title", F.explode(F.array_distinct(F.array("signal", "normal"))).alias("said"))
+    said = texts.select("said").where("said <> ''").distinct()
+    names = phrase_matches(said, postings(spark, ready), "said", X.tokens(F.col("said"))).select("said", F.explode("names").alias("name")).distinct()
+    # a catalog's concepts at most
+    pools = texts.join(names, "said").groupBy("title").agg(F.collect_set("name").alias("met"))
+    pool = F.filter(ready.column(), lambda c: F.coalesce(F.array_contains("met", c["name"]), F.lit(False)))
+    return rows.join(pools, "title", "left").withColumn("pool", pool).drop("met")
+
+
 def _within(normal: Column, phrase: Column) -> Column:
     return (phrase != "") & F.contains(normal, phrase)
 
@@ -199,7 +247,8 @@ def analyze(titles: DataFrame, ready: Prepared, column: str = "title") -> DataFr
     floor = F.when(F.col("family").isNull(), RELATED).otherwise(RELATED - 20)
     fits = lambda s: (s["score"] >= floor) & (F.col("family").isNull() | (s["family"] == F.col("family")) | (s["score"] >= PRIMARY))
     order = lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).when(a["title"] < b["title"], -1).when(a["title"] > b["title"], 1).otherwise(0)
-    rows = rows.withColumn("scores", F.transform(ready.column(), scored))
+    rows = met_concepts(rows, ready)
+    rows = rows.withColumn("scores", F.transform("pool", scored))
     rows = rows.withColumn("candidates", F.slice(F.array_sort(F.filter("scores", fits), order), 1, MOST))
     covers = lambda tokens: (F.size("words") <= 1) | F.forall("words", lambda w: F.array_contains(tokens, w))
     by_signal = F.try_element_at(F.filter("candidates", lambda s: (s["score"] >= PRIMARY) & covers(s["tokens"])), F.lit(1))
@@ -213,14 +262,14 @@ def analyze(titles: DataFrame, ready: Prepared, column: str = "title") -> DataFr
         ok = lambda p: inside(p) & ((p == F.col("signal")) | covers(c["tokens"]))
         return F.transform(F.filter(kinds, lambda k: ok(k["phrase"])), lambda k: F.struct(F.size(F.split(k["phrase"], " ")).alias("n"), F.length(k["phrase"]).alias("size"), k["rank"].alias("rank"), c["name"].alias("name"), c["family"].alias("family"), c["title"].alias("canonical")))
 
-    rows = rows.withColumn("by_signal", by_signal).withColumn("aliases", F.sort_array(F.flatten(F.transform(ready.column(), named)), asc=False))
+    rows = rows.withColumn("by_signal", by_signal).withColumn("aliases", F.sort_array(F.flatten(F.transform("pool", named)), asc=False))
     rows = rows.withColumn("by_alias", F.try_element_at("aliases", F.lit(1)))
     alias_score = F.try_element_at(F.filter("scores", lambda s: s["name"] == F.col("by_alias.name")), F.lit(1))["score"]
     overruled = F.col("by_signal").isNotNull() & (F.col("by_signal.name") != F.col("by_alias.name")) & (F.col("by_signal.score") >= alias_score + LEAD)
     primary = F.when(F.col("by_alias").isNull() | F.coalesce(overruled, F.lit(False)), F.col("by_signal.name")).otherwise(F.col("by_alias.name"))
     rows = rows.withColumn("concept", primary)
     matched = F.array_distinct(F.concat(F.transform("aliases", lambda a: a["name"]), F.array_compact(F.array("by_signal.name"))))
-    of_concept = F.try_element_at(F.filter(ready.column(), lambda c: c["name"] == F.col("concept")), F.lit(1))
+    of_concept = F.try_element_at(F.filter("pool", lambda c: c["name"] == F.col("concept")), F.lit(1))
     kind = F.element_at(F.array(F.lit("abbreviation"), F.lit("alias"), F.lit("canonical")), F.col("by_alias.rank"))
     family = F.coalesce(of_concept["family"], F.col("family"))
     group_of = F.try_element_at(F.filter(ready.family_column(), lambda f: f["name"] == family), F.lit(1))["grp"]

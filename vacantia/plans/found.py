@@ -64,3 +64,19 @@ def srt_candidates(t: Catalog) -> DataFrame:
     """The newest 40 of the exact channel."""
     plan = S.plan_of(t.spark, SearchFilters(title="Data Engineer"), titles.prepare(t.spark))
     return S.candidates(indexed(t), plan, 40).where(F.array_contains("channels", "exact")).select(F.col("id").alias("pos"))
+
+
+_ROLES = [(said, c.name, c.family) for c in titles.standard().concepts for said in (c.title, *c.aliases)]
+
+
+@query(f"""
+    with roles(said, concept, family) as (values {", ".join(f"('{s}', '{c}', '{f}')" for s, c, f in _ROLES)}),
+    r as (select *, row_number() over () - 1 as spot from roles),
+    t as (select distinct {V.sql_pick(V.LEVEL_WORDS, 'p_size')} || ' ' || upper(said) as title, concept, family from part join r on p_partkey % {len(_ROLES)} = spot)
+    select title, concept, family from t
+""")
+def txt_roles(t: Catalog) -> DataFrame:
+    """Role and family of every distinct title of ten families and fifty roles, under all their names and levels."""
+    said = F.concat(V.pick(V.LEVEL_WORDS, F.col("p_size")), F.lit(" "), F.upper(V.pick([s for s, _, _ in _ROLES], F.col("p_partkey"))))
+    found = titles.analyze(t["part"].select(said.alias("title")), titles.prepare(t.spark, titles.standard()))
+    return found.select("title", "concept", "family")
