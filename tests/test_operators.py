@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from vacantia.operators import resolve, schedule
 from vacantia.operators.components import connected_components
 from vacantia.sources import boards, pages, tables
@@ -167,3 +168,23 @@ def test_tags_are_longest_first_then_leftmost(spark):
     table = spark.createDataFrame([(p,) for p in phrases], "alias string")
     got = tagging.tag(spark.createDataFrame(rows, "id long, text string"), table, "id", F.split("text", " "))
     assert {(r["id"], r["start"], r["n"]) for r in got.collect()} == expected and got.count() == len(expected)
+
+
+def test_postings_give_the_candidates_of_a_whole_scan(spark):
+    """Same rows and channels, from the files and row groups of the keys asked for."""
+    from vacantia.operators import search_index as S
+    from vacantia.operators import titles
+    from vacantia.operators.filters import SearchFilters
+    from vacantia.plans import found
+    from vacantia.sources.tables import Catalog
+
+    rows = found.indexed(Catalog(spark, SMALL))
+    postings, ready = S.stored_postings(rows), titles.prepare(spark)
+    for search, place in ((SearchFilters(title="Data Engineer"), []), (SearchFilters(title="Senior Software Engineer", platforms=["ashby"]), ["country:france"]), (SearchFilters(title="Full Stack Platform Web Developer"), []), (SearchFilters(title="Chef"), ["city:nowhere"])):
+        plan = S.plan_of(spark, search, ready, place)
+        for limit in (7, 1000):
+            whole, fetched = (sorted((r["id"], tuple(r["channels"])) for r in df.select("id", "channels").collect()) for df in (S.candidates(rows, plan, limit), S.found_candidates(postings, rows, plan, limit)))
+            assert whole == fetched
+        if keys := S.channel_keys(plan):
+            shown = S.probe(postings, keys)._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [(" in shown and "PushedFilters: [" in shown and "In(key" in shown.replace("EqualTo(key", "In(key")

@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.durable import persist
@@ -30,6 +30,7 @@ ROLE_MATES = {"engineer": "developer", "developer": "engineer", "manager": "owne
 GENERIC_WORDS = ["engineer", "developer", "manager", "analyst", "specialist", "designer", "architect", "consultant", "scientist", "administrator", "coordinator"]
 CHANNELS = ["exact", "alias", "concept", "family_role", "phrase"]
 CHANNEL_LIMIT = 5000
+RUN = 4  # words of the longest run that is posted
 
 
 @dataclass
@@ -264,12 +265,60 @@ def candidate_order() -> list[Column]:
 def candidates(indexed: DataFrame, plan: Plan, limit: int = CHANNEL_LIMIT) -> DataFrame:
     """Rows of all channels, each once, with the names of its channels; a channel takes its newest ``limit``.
 
-    ``indexed`` is read once a channel, so it should be a stored table.
+    ``indexed`` is read once: a row goes to each of its channels, and a channel's place is
+    limited before the shuffle, so that ``limit`` rows a task and channel leave it at most.
     """
     base = indexed.where(base_clause(plan) & place_clause(plan))
-    taken = None
-    for name, clause in channel_clauses(plan).items():
-        part = base.where(clause).orderBy(*candidate_order(), "id").limit(limit).select("id", F.lit(name).alias("channel"))
-        taken = part if taken is None else taken.unionByName(part)
-    gathered = taken.groupBy("id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))  # at most five a row
-    return indexed.join(gathered, "id")
+    names = F.array_compact(F.array(*[F.when(clause, F.lit(name)) for name, clause in channel_clauses(plan).items()]))
+    row = F.struct(*indexed.columns).alias("__row")
+    sent = base.select(row, F.explode(names).alias("__channel"))
+    order = [*[F.desc_nulls_last(f"__row.{c}") for c in ("posting_date", "posted_at", "last_seen", "crawled_at", "discovered_at")], F.asc("__row.title"), F.asc("__row.id")]
+    taken = sent.withColumn("__place", F.row_number().over(Window.partitionBy("__channel").orderBy(*order))).where(F.col("__place") <= limit)
+    gathered = taken.groupBy(F.col("__row.id").alias("__id")).agg(F.any_value("__row").alias("__row"), F.array_sort(F.collect_set("__channel")).alias("channels"))  # at most five a row
+    return gathered.select("__row.*", "channels")
+
+
+def posting_rows(indexed: DataFrame) -> DataFrame:
+    """``family, key, id``: what a posting can be found by, a row for each key; runs of up to RUN words of the normal title among them."""
+    i = lambda n: F.col(f"index.{n}")
+    none = F.array().cast("array<string>")
+    tagged = lambda family, values: F.transform(F.coalesce(values, none), lambda v: F.struct(F.lit(family).alias("family"), v.alias("key")))
+    kin = F.concat(
+        F.array(F.concat_ws(":", F.lit("group"), "index.title_role_group"), F.concat_ws(":", F.lit("word"), "index.title_stripped"), F.concat_ws(":", F.lit("word"), "index.title_normalized")),
+        F.transform(F.coalesce(i("title_concepts"), none), lambda c: F.concat(F.lit("concept:"), c)),
+    )
+    keys = F.concat(
+        tagged("title", F.array_distinct(F.concat(F.array_compact(F.array(i("title_normalized"), i("title_stripped"))), F.coalesce(i("title_terms"), none)))), tagged("concept", i("title_concepts")),
+        tagged("kin", F.transform(kin, lambda k: F.concat_ws("/", "index.title_family", k))), tagged("run", X.phrases(X.tokens(F.coalesce(i("title_normalized"), F.lit(""))), 1, RUN)), tagged("place", i("location_keys")),
+    )
+    return indexed.select("id", F.inline(F.filter(F.array_distinct(keys), lambda k: k["key"].isNotNull()))).select("family", "key", "id")
+
+
+def stored_postings(indexed: DataFrame) -> DataFrame:
+    """The postings as a table in folders by family, sorted by key, so that a probe reads the row groups of its keys only."""
+    rows = posting_rows(indexed)
+    return persist(rows.repartitionByRange("family", "key").sortWithinPartitions("family", "key"), partition_by=["family"]).select("family", "key", "id")
+
+
+def channel_keys(plan: Plan) -> dict[str, list[str]]:
+    """Keys by family of every posting that some channel can take; a long phrase by its first RUN words."""
+    kin = []
+    if plan.family and plan.role_group:
+        kin = [f"{plan.family}/group:{plan.role_group}", *(f"{plan.family}/concept:{c}" for c in plan.concepts), *(f"{plan.family}/word:{w}" for w in plan.role_words)]
+    found = {"title": [*plan.exact, *plan.alias], "concept": plan.concepts, "kin": kin, "run": [" ".join(p.split(" ")[:RUN]) for p in plan.phrases]}
+    return {family: sorted(set(keys)) for family, keys in found.items() if keys}
+
+
+def probe(postings: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
+    """``id`` of postings under any of the keys: a family is a folder, a key a range of its files."""
+    if not keys:
+        return postings.select("id").limit(0)
+    return postings.where(reduce(lambda a, b: a | b, [(F.col("family") == f) & F.col("key").isin(k) for f, k in keys.items()])).select("id").distinct()
+
+
+def found_candidates(postings: DataFrame, indexed: DataFrame, plan: Plan, limit: int = CHANNEL_LIMIT) -> DataFrame:
+    """``candidates`` of the rows that the postings name: the same result, other rows are not tested."""
+    ids = probe(postings, channel_keys(plan))
+    if plan.places:
+        ids = ids.join(probe(postings, {"place": list(plan.places)}), "id", "left_semi")
+    return candidates(indexed.join(ids, "id", "left_semi"), plan, limit)

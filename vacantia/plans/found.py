@@ -63,7 +63,8 @@ def flt_channels(t: Catalog) -> DataFrame:
 def srt_candidates(t: Catalog) -> DataFrame:
     """The newest 40 of the exact channel."""
     plan = S.plan_of(t.spark, SearchFilters(title="Data Engineer"), titles.prepare(t.spark))
-    return S.candidates(indexed(t), plan, 40).where(F.array_contains("channels", "exact")).select(F.col("id").alias("pos"))
+    rows = indexed(t)
+    return S.found_candidates(S.stored_postings(rows), rows, plan, 40).where(F.array_contains("channels", "exact")).select(F.col("id").alias("pos"))
 
 
 _ROLES = [(said, c.name, c.family) for c in titles.standard().concepts for said in (c.title, *c.aliases)]
