@@ -188,3 +188,28 @@ def test_postings_give_the_candidates_of_a_whole_scan(spark):
         if keys := S.channel_keys(plan):
             shown = S.probe(postings, keys)._jdf.queryExecution().executedPlan().toString()
             assert "PartitionFilters: [(" in shown and "PushedFilters: [" in shown and "In(key" in shown.replace("EqualTo(key", "In(key")
+
+
+def test_any_split_into_batches_gives_the_entities_of_one_run(spark):
+    from vacantia.operators import entities
+
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice([None, f"k{rnd.randrange(60)}"]) for _ in range(rnd.randint(0, 3))]) for i in range(120)]
+    table = lambda some: spark.createDataFrame(some, "id long, keys array<string>")
+
+    def resolved(batches):
+        state = entities.nothing(spark)
+        for batch in batches:
+            state = entities.add_batch(state, table(batch))
+        return {r["id"]: r["entity"] for r in entities.entities(state, table(rows)).collect()}
+
+    whole = resolved([rows])
+    reached = {i: {i} for i, _ in rows}
+    for _ in rows:
+        for i, keys in rows:
+            for j, others in rows:
+                if set(keys) & set(others) - {None}:
+                    reached[i] |= reached[j]
+    assert whole == {i: min(r) for i, r in reached.items()}
+    mixed = rnd.sample(rows, len(rows))
+    assert resolved([mixed[:40], mixed[40:41], [], mixed[30:90], mixed[90:]]) == whole

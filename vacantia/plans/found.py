@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.durable import persist
+from vacantia.operators import entities as E
 from vacantia.operators import search_index as S
 from vacantia.operators import titles
 from vacantia.operators.filters import SearchFilters
@@ -81,3 +82,25 @@ def txt_roles(t: Catalog) -> DataFrame:
     said = F.concat(V.pick(V.LEVEL_WORDS, F.col("p_size")), F.lit(" "), F.upper(V.pick([s for s, _, _ in _ROLES], F.col("p_partkey"))))
     found = titles.analyze(t["part"].select(said.alias("title")), titles.prepare(t.spark, titles.standard()))
     return found.select("title", "concept", "family")
+
+
+@query("""
+    with recursive k as (
+        select doc_id, unnest([md5(lower(text)), source || ':' || n_chars, case when doc_id % 3 = 0 then 'group:' || (doc_id // 40) end]) as key from documents
+    ), links as materialized (
+        select distinct a.doc_id as a, b.first as b from k as a join (select key, min(doc_id) as first from k where key is not null group by key) as b using (key)
+    ), reach as (
+        select doc_id, doc_id as other from documents union select doc_id, n.b from reach join (select a, b from links union select b, a from links) as n on n.a = other
+    )
+    select doc_id, min(other) as entity from reach group by doc_id
+""")
+def mrg_incremental(t: Catalog) -> DataFrame:
+    """Entities of all documents by three keys each, resolved in four batches."""
+    d = t["documents"]
+    k = F.col("doc_id")
+    keys = F.array(F.md5(F.lower("text")), F.concat_ws(":", F.col("source"), F.col("n_chars").cast("string")), F.when(k % 3 == 0, F.concat(F.lit("group:"), F.floor(k / 40).cast("string"))))
+    rows = d.select(k.alias("id"), keys.alias("keys"))
+    state = E.nothing(t.spark)
+    for batch in range(4):
+        state = E.add_batch(state, rows.where(F.pmod(F.xxhash64("id"), F.lit(4)) == batch))
+    return E.entities(state, rows).select(F.col("id").alias("doc_id"), "entity")
