@@ -213,3 +213,36 @@ def test_any_split_into_batches_gives_the_entities_of_one_run(spark):
     assert whole == {i: min(r) for i, r in reached.items()}
     mixed = rnd.sample(rows, len(rows))
     assert resolved([mixed[:40], mixed[40:41], [], mixed[30:90], mixed[90:]]) == whole
+
+
+def test_a_commit_is_seen_whole_or_not_at_all(spark, tmp_path):
+    from vacantia.sources import manifest
+
+    newest = lambda old, new: new.unionByName(old.join(new.select("key"), "key", "left_anti"))
+    at, table = str(tmp_path), lambda some: spark.createDataFrame(some, "key string, value long")
+    put = lambda version, rows, merge=newest, run="r": manifest.put(at, version, table(rows), "key", ["value"], merge, run, "s")
+    assert manifest.read_manifest(spark, at) is None
+    first = put(1, [("a", 1), ("b", 2)])
+    assert first["facts"] | {"last": 0} == {"inserted": 2, "updated": 0, "unchanged": 0, "linked": 2, "last": 0}
+
+    def lost(old, new):
+        raise OSError("the writer is gone")
+
+    def twice(old, new):
+        return newest(old, new).unionByName(new)
+
+    for fault in (lost, twice):  # before anything is written, and after the records are, which repeat a key
+        try:
+            put(2, [("b", 3), ("c", 4)], fault)
+        except (OSError, ValueError):
+            pass
+        else:
+            raise AssertionError("a fault must not be committed")
+        assert manifest.read_manifest(spark, at) == first
+    second = put(2, [("a", 1), ("b", 3), ("c", 4)])
+    assert second["facts"] == {"inserted": 1, "updated": 1, "unchanged": 1, "linked": 1, "last": {"changes": 4, "runs": 3, "sessions": 3}}
+    assert put(2, [("z", 9)]) == second == manifest.read_manifest(spark, at)
+    got = {r["key"]: r["value"] for r in manifest.read_table(spark, second, "records").collect()}
+    assert got == {"a": 1, "b": 3, "c": 4}
+    empty = put(3, [], run="r2")
+    assert manifest.read_table(spark, empty, "records").count() == 3 and empty["facts"]["linked"] == 0

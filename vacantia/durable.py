@@ -46,10 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def persist(df: DataFrame, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, in folders by ``partition_by``, and return it as read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vacantia-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    _live[path] = lambda: files.delete(place, True)
+    path = new_folder(spark)
     for made in getattr(_within, "made", ()):
         made.append(path)
     df.write.option("compression", codec).parquet(path, partitionBy=partition_by)
@@ -58,6 +55,15 @@ def persist(df: DataFrame, codec: str = "zstd", partition_by: list[str] | None =
     return back
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one for tables that a caller lays out; deleted when the process ends."""
+    path = f"{shared_dir(spark)}/vacantia-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    _live[path] = lambda: files.delete(place, True)
+    return path
+
+
 def _delete(path: str) -> None:
     if delete := _live.pop(path, None):
         delete()

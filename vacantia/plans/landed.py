@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.durable import shared_dir
+from vacantia.durable import new_folder
 from vacantia.functions.text import decode_entities
 from vacantia.plans import views as V
 from vacantia.plans.registry import query
@@ -213,7 +211,7 @@ def src_boards(t: Catalog) -> DataFrame:
 @query("select n_nationkey::varchar || ' ' || k as domain, case when k = 'json' then n_name else upper(n_name) end as company, case when k = 'json' then 2 else 1 end::int as aliases, n_nationkey % 2 = 0 as likely from nation, (values ('json'), ('csv')) v(k)")
 def src_profiles(t: Catalog) -> DataFrame:
     """Sponsorship profiles from a JSON file and from a plain CSV file."""
-    folder = f"{shared_dir(t.spark)}/profiles-{uuid.uuid4().hex}"
+    folder = new_folder(t.spark)
     n, key = t["nation"], F.col("n_nationkey").cast("string")
     entry = F.struct(F.col("n_name").alias("companyName"), F.array(F.lit("a"), F.lit("b")).alias("aliases"), F.concat(key, F.lit(" json")).alias("domain"), (F.col("n_nationkey") % 2 == 0).alias("h1bSponsorLikely"))
     n.agg(F.to_json(F.collect_list(entry)).alias("value")).coalesce(1).write.text(f"{folder}/json")  # a file of 25 entries
@@ -233,7 +231,7 @@ def src_workday_links(t: Catalog) -> DataFrame:
 @query("select event_id as pos, 'u' || (event_id % 50) as url from events")
 def snk_append_facts(t: Catalog) -> DataFrame:
     """Facts added in two writes are all there."""
-    folder = f"{shared_dir(t.spark)}/facts-{uuid.uuid4().hex}"
+    folder = new_folder(t.spark)
     facts = t["events"].select(F.col("event_id").alias("pos"), F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string")).alias("url"))
     append_facts(facts.where("pos % 2 = 0"), folder)
     append_facts(facts.where("pos % 2 = 1"), folder)

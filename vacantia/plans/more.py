@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.durable import persist, shared_dir
+from vacantia.durable import new_folder, persist
 from vacantia.functions import dates, experience, postings, sponsorship
 from vacantia.functions import text as X
 from vacantia.operators import evidence, intents, jobs, places, ranking
@@ -15,7 +13,7 @@ from vacantia.plans import board as B
 from vacantia.plans import views as V
 from vacantia.plans.registry import query
 from vacantia.sources import pages as P
-from vacantia.sources import tables
+from vacantia.sources import manifest, tables
 from vacantia.sources.tables import Catalog
 from vacantia.streaming import feed
 
@@ -146,7 +144,7 @@ def str_filtered_delta(t: Catalog) -> DataFrame:
 def str_feed(t: Catalog) -> DataFrame:
     """The events as a stream whose batches are merged into a versioned table; a batch that comes again changes nothing."""
     spark = t.spark
-    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     t["events"].select("event_id", "user_id").repartition(3).write.parquet(f"{folder}/landed")
     source = spark.readStream.schema("event_id long, user_id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
     query_ = feed.run_counts(spark, source, f"{folder}/table", f"{folder}/checkpoint")
@@ -211,3 +209,24 @@ def txt_intent(t: Catalog) -> DataFrame:
     k = F.col("c_custkey")
     i = intents.intent(V.pick(["Sr. Engineer", "Engineer", "Associate"], k), V.pick(["100% Remote", "Remote France", "Paris"], k), k % 3 != 2)
     return t["customer"].select(k.alias("pos"), i["remote"].alias("remote"), F.array_join(F.array_distinct(i["preferred"]), ",").alias("preferred"))
+
+
+@query("""
+    with one as (select o_orderkey as k from orders where o_orderkey % 3 <> 0),
+    two as (select o_orderkey as k, case when o_orderkey % 3 = 0 then 'inserted' else 'updated' end as kind, o_orderkey % 5 = 0 or o_orderkey % 3 = 0 as differs from orders where o_orderkey % 3 = 0 or o_orderkey % 5 < 2),
+    log as (select row_number() over (order by k) as sequence, k as key, 'inserted' as kind from one union all select (select count(*) from one) + row_number() over (order by k), k, kind from two where differs)
+    select *, (select count(*) filter (kind = 'inserted') from two)::bigint as inserted, (select count(*) filter (kind = 'updated' and differs) from two)::bigint as updated,
+        (select count(*) filter (not differs) from two)::bigint as unchanged, (select count(*) from two)::bigint as linked from log
+""")
+def snk_commit(t: Catalog) -> DataFrame:
+    """The change log of two batches of orders, each one commit of records and three logs, and what the second brought; it is sent twice."""
+    k = F.col("o_orderkey")
+    rows = t["orders"].select(k.alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    one, two = rows.where("key % 3 <> 0"), rows.where("key % 3 = 0 or key % 5 < 2").withColumn("status", F.when(F.col("key") % 5 == 0, "closed").otherwise(F.col("status")))
+    newest = lambda old, new: new.unionByName(old.join(new.select("key"), "key", "left_anti"))
+    at = new_folder(t.spark)
+    manifest.put(at, 1, one, "key", ["status", "price"], newest, "run 1", "session")
+    made = manifest.put(at, 2, two, "key", ["status", "price"], newest, "run 2", "session")
+    again = manifest.put(at, 2, one, "key", ["status", "price"], newest, "run 2", "session")
+    facts = [F.lit(again["facts"][n]).cast("long").alias(n) for n in ("inserted", "updated", "unchanged", "linked")]
+    return manifest.read_table(t.spark, made, "changes").select("sequence", "key", "kind", *facts)
