@@ -96,14 +96,14 @@ class Model:
         values, counts = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(t for texts in folded.values() for t in texts)]), return_counts=True)
         letters = [int(v) for v in values[np.lexsort((values, -counts))] if v]  # the most frequent first
         number = {c: i + 3 for i, c in enumerate(letters)}
-        self.symbols = np.full(0x110000, GAP, dtype=np.int32)
+        self.symbols = np.full(0x110000, GAP, dtype=np.uint8 if len(letters) < 250 else np.int32)
         for code in range(0x110000):
             if not 0xD800 <= code < 0xE000 and (low := fold(code)):
                 self.symbols[code] = number.get(low, OTHER)
         self.width, self.dense = len(letters) + 3, min(len(letters), DENSE) + 3
         streams = []
         for k in self.languages:
-            parts = [np.append(self.squeeze([t])[0], np.int32(GAP)) for t in samples[k]]
+            parts = [np.append(self.squeeze([t])[0], self.symbols.dtype.type(GAP)) for t in samples[k]]
             share = max(200, sample_symbols // max(1, len(parts)))
             stream = np.concatenate([p[:share] for p in parts])
             if len(stream) < sample_symbols:
@@ -164,7 +164,7 @@ class Model:
         """Numbers of phrases of each part against each language, and of symbols that the language's sample lacks."""
         blocks = [-(-len(p) // BLOCK) for p in parts]
         total = sum(blocks)
-        grid = np.zeros((total, BLOCK), dtype=np.int32)
+        grid = np.zeros((total, BLOCK), dtype=self.symbols.dtype)
         row = 0
         for p, n in zip(parts, blocks):
             grid[row : row + n].reshape(-1)[: len(p)] = p
@@ -172,7 +172,7 @@ class Model:
         counts, lacks = (np.zeros((total, len(self.languages)), dtype=np.int64) for _ in range(2))
         roots = np.array(self.roots, dtype=np.int32)[:, None]
         for lo in range(0, total, ROWS_AT_ONCE):
-            tile = np.ascontiguousarray(grid[lo : lo + ROWS_AT_ONCE].T)
+            tile = np.ascontiguousarray(grid[lo : lo + ROWS_AT_ONCE].T).astype(np.int32)
             state = np.repeat(roots, tile.shape[1], axis=1)
             count, lack = np.zeros_like(state), np.zeros_like(state)
             for column in tile:
@@ -247,7 +247,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_column, 8 << 20):
+            for batch in slices(whole, text_column, 4 << 20):
                 names, scores, costs = shared.value.predict(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(costs, pa.float64())], ["doc_id", "lang_pred", "score", "bits"]
@@ -264,7 +264,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 names = shared.value.predict(batch.column(at).to_pylist())[0]
                 yield batch.filter(pa.array([n != UNKNOWN for n in names]))
 
