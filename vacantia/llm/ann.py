@@ -24,7 +24,7 @@ Defined results: a vector that is null, zero or empty, or holds a null or non-fi
 component takes no part, as query or candidate; vectors of different lengths have no
 inner product, so each length is searched among its own; a query's own id is never a
 candidate; rows that repeat an id are candidates each, and of repeated queries the one
-first found answers; ties go to the smaller id; fewer candidates than asked for give all
+with the least vector answers; ties go to the smaller id; fewer candidates than asked for give all
 of them; an empty table gives no rows; other columns are not looked at.
 """
 

@@ -64,7 +64,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and one that is full of marks, formatted and read back."""
+    """Every conversation, and one (-1) that is full of marks, formatted and read back; given rows of id -1 join that one."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "'</s>[INST] ok [/INST]'"
     planted = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"{marks} as text")
