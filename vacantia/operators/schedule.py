@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.durable import drop, persist
+
 
 def first_per(rows: DataFrame, by: str, *order: Column) -> DataFrame:
     """The first row of each group: one pass of partial minima over the order's struct."""
@@ -50,6 +52,61 @@ def select_with_reserves(rows: DataFrame, n: int, reserve_new: float, cap_share:
     return placed.withColumn("turn", turn).drop("__id", "__fresh").orderBy("turn", *order).limit(n)
 
 
+def even_budgets(rows: DataFrame, platform: str, total: int, *order: Column) -> DataFrame:
+    """``platform, budget``: one each in order of first sight, then one more in turn, up to what a platform has; those that ``total`` doesn't reach have none."""
+    seen = rows.groupBy(platform).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("__first"))
+    units = seen.select(platform, "__first", F.explode(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(total)))).alias("unit"))
+    return units.orderBy("unit", "__first").limit(total).groupBy(platform).agg(F.count("*").alias("budget"))
+
+
+def five_passes(rows: DataFrame, n: int, priority: Column, unsure: Column, *order: Column, identity: str = "source_id") -> DataFrame:
+    """At most n sources with the ``turn`` (1 to 5) that took them, each turn on what the last one left.
+
+    1. priority sources, half of n at most; 2. the first of each platform; 3. the first
+    quarter of those never crawled; 4. any, within the platforms' even budgets; 5. any.
+    ``unsure`` sources, all of one platform, are kept to 15 % of n beside others from turn 2
+    on, budgets hold in turns 2 and 4; where n takes all rows, all are taken in turn 0.
+
+    The greedy loop takes, of a platform, its first rows up to what its budget leaves, and of
+    unsure ones the first up to their cap: each turn is a top-k within platforms and one over
+    all, so no rows pass through the driver, only two counts a turn.  ``order`` are columns
+    that sort ascending and end in ``identity``.
+    """
+    if n <= 0:
+        return rows.limit(0).withColumn("turn", F.lit(0))
+    size, unsure_size = rows.agg(F.count("*"), F.count_if(unsure)).first()
+    if size <= n:
+        return rows.withColumn("turn", F.lit(0))
+    cap = 0 if not unsure_size else n if unsure_size == size else min(unsure_size, max(1, int(n * 0.15)))
+    budgets = even_budgets(rows, "platform", n, *order)
+    marked = rows.select(F.col(identity).alias("__id"), "platform", F.struct(*order).alias("__at"), F.coalesce(priority, F.lit(False)).alias("__priority"), F.coalesce(unsure, F.lit(False)).alias("__unsure"), F.col("last_crawled_at").isNull().alias("__new"))
+    base = persist(marked.join(budgets, "platform", "left"))
+    first = base.groupBy("platform").agg(F.min_by("__id", "__at").alias("__id")).select("__id")
+    pool = {1: base.where("__priority").orderBy("__at").limit(-(-n // 2)), 2: base.join(first, "__id", "left_semi"), 3: base.where("__new").orderBy("__at").limit(max(1, -(-n // 4))), 4: base, 5: base}
+    taken = None
+    for turn, some in pool.items():
+        left, unsure_left = n, cap
+        if taken is not None:
+            count, unsure_count = taken.agg(F.count("*"), F.count_if("__unsure")).first()
+            left, unsure_left = n - count, max(0, cap - unsure_count)
+            if left <= 0:
+                break
+            some = some.join(taken.select("__id"), "__id", "left_anti")
+        if turn > 1:
+            some = some.where("not __unsure").unionByName(some.where("__unsure").orderBy("__at").limit(unsure_left))
+        if turn in (2, 4):
+            used = taken.groupBy("platform").agg(F.count("*").alias("__used"))
+            place = F.row_number().over(Window.partitionBy("platform").orderBy("__at"))
+            near = some.withColumn("__place", place).where(F.col("__place") <= n)  # no budget is above n
+            room = F.col("budget") - F.coalesce("__used", F.lit(0))
+            some = near.join(used, "platform", "left").where(F.col("budget").isNull() | (F.col("__place") <= room)).select(base.columns)
+        got = some.orderBy("__at").limit(left).withColumn("turn", F.lit(turn))
+        before, taken = taken, persist(got if taken is None else taken.unionByName(got))
+        if before is not None:
+            drop(before)
+    return rows.join(taken.select(F.col("__id").alias(identity), "turn"), identity)
+
+
 def rotate(profiles: DataFrame, start: int, n: int, now: Column) -> DataFrame:
     """The next n profiles from ``start`` on, wrapping around; ties by failures, priority, how long overdue, id."""
     size = profiles.agg(F.count("*").alias("__size"))
