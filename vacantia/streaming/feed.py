@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vacantia.functions.canonical import stable_struct
 from vacantia.operators.resolve import merge_stored
 from vacantia.sources.tables import next_sequences, version_path, write_version
 
 
-def fingerprint(*columns: str) -> Column:
-    """SHA-256 of the columns' JSON, by name."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+def fingerprint(*columns: str, json: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of the columns' JSON, names in order at any depth; columns in ``json`` hold JSON texts and count by their content."""
+    return F.sha2(stable_struct(*columns, json=json), 256)
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, watched: list[str]) -> DataFrame:
