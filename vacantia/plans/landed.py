@@ -9,7 +9,7 @@ from vacantia.durable import new_folder
 from vacantia.functions.text import decode_entities
 from vacantia.plans import views as V
 from vacantia.plans.registry import query
-from vacantia.sources import boards, discovery, structured
+from vacantia.sources import boards, discovery, payloads, structured
 from vacantia.sources import pages as P
 from vacantia.sources.tables import Catalog, append_facts, imported_profiles
 
@@ -236,3 +236,38 @@ def snk_append_facts(t: Catalog) -> DataFrame:
     append_facts(facts.where("pos % 2 = 0"), folder)
     append_facts(facts.where("pos % 2 = 1"), folder)
     return t.spark.read.parquet(folder)
+
+
+@query("""
+    with d as (select doc_id as k, source, text, doc_id % 6 as kind from documents where doc_id % 5 <> 4)
+    select 'greenhouse' as platform, 'g' || k as source_job_id, 'Engineer ' || k as title, 'https://boards.greenhouse.io/gh/jobs/' || k as source_url, 'Paris' as location, sha256('') as description_hash from d where kind = 0
+    union all select 'lever', 'l' || k, 'Analyst ' || k, 'https://jobs.lever.co/lv/' || k, 'Rome; Milan', sha256(text) from d where kind = 1
+    union all select 'ashby', 'a' || k, 'Designer ' || k, 'https://jobs.ashbyhq.com/as/' || k, 'Oslo', sha256(text) from d where kind = 2
+    union all select 'ashby', 'p' || k, 'Writer ' || k, 'https://jobs.ashbyhq.com/b' || k || '/p' || k, 'Bergen', sha256(text) from d where kind = 3
+    union all select 'workday', 'R' || k, 'Nurse ' || k, 'https://x.myworkdayjobs.com/en/job/Lyon/R' || k, 'Lyon', null from d where kind = 4
+    union all select 'workday', 'R' || k, 'Data Engineer', 'https://x.myworkdayjobs.com/en/job/Nice/Data-Engineer_R' || k, null, null from d where kind = 5
+""")
+def src_landed(t: Catalog) -> DataFrame:
+    """Answers of four boards, whole texts and pages among them, landed by platform and day, read back for the days asked, and parsed; no content is an empty description."""
+    k, text = F.col("doc_id"), F.col("text")
+    of = lambda pattern: F.replace(F.lit(pattern), F.lit("%d"), k.cast("string"))
+    deep = lambda **f: F.struct(*[v.alias(c) for c, v in f.items()])
+    job = deep(id=of("a%d"), title=of("Designer %d"), jobUrl=of("https://jobs.ashbyhq.com/as/%d"), location=F.lit("Oslo"), descriptionPlain=text)
+    shown = deep(id=of("p%d"), title=of("Writer %d"), locationName=F.lit("Bergen"), descriptionPlain=text)
+    told = deep(id=of("l%d"), text=of("Analyst %d"), hostedUrl=of("https://jobs.lever.co/lv/%d"), categories=deep(location=F.lit("Rome"), allLocations=F.array(F.lit("Rome"), F.lit("Milan"))), descriptionPlain=text)
+    answers = [
+        of('{"jobs":[{"id":"g%d","title":" Engineer %d ","absolute_url":"https://boards.greenhouse.io/gh/jobs/%d","location":{"name":"Paris"}}]}'),
+        F.to_json(F.array(told)), F.to_json(deep(jobs=F.array(job))),
+        F.concat(F.lit("<html><script>window.__appData = "), F.to_json(deep(jobBoard=deep(jobPostings=F.array(shown)))), F.lit("; let x = {};</script></html>")),
+        of('{"total":1,"jobPostings":[{"title":"Nurse %d","externalPath":"/job/Lyon/R%d","locationsText":"Lyon","bulletFields":["R%d"]}]}'),
+        of('<ul><a href="/en/job/Nice/Data-Engineer_R%d?x=1">Data Engineer</a><a href="https://x.myworkdayjobs.com/en/job/Nice/Data-Engineer_R%d">Apply</a><a href="/about">x</a></ul>'),
+    ]
+    kind = k % 6
+    payload = F.coalesce(*[F.when(kind == n, a) for n, a in enumerate(answers)])
+    platform = V.pick(["greenhouse", "lever", "ashby", "ashby", "workday", "workday"], k)
+    raw = t["documents"].select(
+        platform.alias("platform"), F.date_add(F.lit("2026-01-01").cast("date"), (k % 5).cast("int")).alias("day"), of("b%d").alias("token"), F.when(platform == "workday", "https://x.myworkdayjobs.com/en").alias("base_url"), payload.alias("payload"),
+    )
+    folder = new_folder(t.spark)
+    payloads.land(raw, folder)
+    return boards.landed_postings(t.spark, folder, last_day="2026-01-04").select("platform", "source_job_id", "title", "source_url", "location", F.sha2("description", 256).alias("description_hash"))
