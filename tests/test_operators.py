@@ -170,6 +170,16 @@ def test_tags_are_longest_first_then_leftmost(spark):
     assert {(r["id"], r["start"], r["n"]) for r in got.collect()} == expected and got.count() == len(expected)
 
 
+def test_words_of_a_text_are_cut_once_not_once_a_word(spark):
+    from pyspark.sql import functions as F
+    from vacantia.operators import tagging
+
+    rows, table = spark.createDataFrame([(1, "a b")], "id long, text string"), spark.createDataFrame([("a b",)], "alias string")
+    words = F.split(F.regexp_replace("text", "zzqq", " "), " ")
+    plan = tagging.matches(rows, table, "id", words)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zzqq") <= 2  # the filter of nulls has its own
+
+
 def test_postings_give_the_candidates_of_a_whole_scan(spark):
     """Same rows and channels, from the files and row groups of the keys asked for."""
     from vacantia.operators import search_index as S

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.durable import persist
 from vacantia.operators import places
 from vacantia.operators.evidence import is_ambiguous_code
 from vacantia.operators.places import POINT
@@ -38,8 +39,11 @@ def matches(rows: DataFrame, phrases: DataFrame, identity: str, words: Column, p
     """
     first = beginnings(phrases, phrase)
     longest = first.agg(F.max("reach")).first()[0] or 1
-    ahead = F.transform(words, lambda w, i: F.struct(i.alias("start"), w.alias("word"), F.slice(words, i + 1, longest).alias("ahead")))
-    at = rows.where(words.isNotNull()).select(identity, F.size(words).alias("total"), F.inline(ahead)).where("word <> ''").join(first, "word")
+    # the words as a column: inside the lambda an expression would be worked out again for each word
+    held = F.col("__words")
+    ahead = F.transform(held, lambda w, i: F.struct(i.alias("start"), w.alias("word"), F.slice(held, i + 1, longest).alias("ahead")))
+    texts = rows.select(identity, words.alias("__words")).where(held.isNotNull())
+    at = texts.select(identity, F.size(held).alias("total"), F.inline(ahead)).where("word <> ''").join(first, "word")
     spans = F.transform(F.sequence(F.lit(1), F.least("reach", F.size("ahead"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ahead", 1, n), " ").alias(phrase)))
     return at.select(identity, "start", "total", F.inline(spans)).join(phrases, phrase)
 
@@ -59,7 +63,7 @@ def cover(found: DataFrame, identity: str) -> DataFrame:
 
 def tag(rows: DataFrame, phrases: DataFrame, identity: str, words: Column, phrase: str = "alias") -> DataFrame:
     """The matches that the longest-first cover keeps, with the columns of ``phrases``."""
-    found = matches(rows, phrases, identity, words, phrase)
+    found = persist(matches(rows, phrases, identity, words, phrase))  # read twice, texts once
     return found.join(cover(found, identity), [identity, "start", "n"])
 
 
@@ -81,7 +85,7 @@ def locate(rows: DataFrame, gazetteer: DataFrame, identity: str, text: str) -> D
     normal = places.normal_place(F.col(text))
     distinct = rows.select(normal.alias("normal")).where("normal <> ''").distinct()
     words = F.split("normal", " ")
-    found = matches(distinct, place_names(gazetteer), "normal", words).where(~F.col("guarded") | (F.col("start") + F.col("n") == F.col("total")))
+    found = persist(matches(distinct, place_names(gazetteer), "normal", words).where(~F.col("guarded") | (F.col("start") + F.col("n") == F.col("total"))))
     kept = found.join(cover(found, "normal"), ["normal", "start", "n"])
     best = lambda level: F.min(F.when(F.col("level") == level, F.struct((-F.length("alias")).alias("size"), "start", *POINT)))
     # the region must be of the metropolitan area's country, so areas are settled first
