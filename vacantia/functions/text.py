@@ -70,7 +70,9 @@ def slug_to_label(value: Column) -> Column:
 
 def ascii_folded(value: Column) -> Column:
     """Accents off, what then is not ASCII dropped."""
-    return F.regexp_replace(F.translate(text(value), FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    given = text(value)
+    folded = F.regexp_replace(F.translate(given, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    return F.when(F.octet_length(given) == F.length(given), given).otherwise(folded)  # a byte a character: nothing to fold
 
 
 def normal_title(value: Column) -> Column:

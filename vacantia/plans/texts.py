@@ -69,8 +69,10 @@ def txt_head_and_words(t: Catalog) -> DataFrame:
     from (select pos, array_to_string(w[i:i + k - 1], ' ') as p from n, unnest(range(1, 4)) k(k), unnest(range(1, len(w) + 1)) i(i) where i + k - 1 <= len(w)) group by pos
 """)
 def txt_phrases(t: Catalog) -> DataFrame:
-    p = X.phrases(X.tokens(X.normal_title(F.col("title"))), 1, 3)
-    return V.titles(t).select("pos", F.size(p).cast("long").alias("n_phrases"), F.size(F.filter(p, lambda x: x.like("% % %"))).cast("long").alias("n_longest"))
+    # a column a step: what a lambda uses is worked out again for each element, a column once a row
+    words = V.titles(t).select("pos", X.tokens(X.normal_title(F.col("title"))).alias("words"))
+    p = F.col("phrases")
+    return words.select("pos", X.phrases(F.col("words"), 1, 3).alias("phrases")).select("pos", F.size(p).cast("long").alias("n_phrases"), F.size(F.filter(p, lambda x: x.like("% % %"))).cast("long").alias("n_longest"))
 
 
 @query(f"select doc_id, sha256({COMPARABLE.format('source')} || '|' || {COMPARABLE.format('text')} || '|' || {COMPARABLE.format('lang')}) as fingerprint from documents")
