@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from vacantia.functions import dates, experience, postings, sponsorship, text, urls
 from vacantia.operators import filters, places, titles
 
+from tests.conftest import SMALL
+
 
 def values(spark, make, inputs):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(inputs)], "i int, x string")
     return [r[0] for r in df.orderBy("i").select(make(F.col("x"))).collect()]
 
 
+@pytest.mark.parametrize("name, once", [("txt_phrases", "mlops"), ("txt_seniority", "mlops")])
+def test_titles_are_worked_out_once_a_row(spark, name, once):
+    from vacantia.plans import texts  # noqa: F401
+    from vacantia.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(once) == 1
+
+
 def test_texts(spark):
     assert values(spark, text.comparable, ["  C++ & Go!", None, "É-b"]) == ["c go", "", "b"]
     assert values(spark, text.normal_title, ["Sr. Front-End & Back end Dev", "Prod Mgr", "Café Résumé", "ML-Ops", None]) == [
@@ -23,6 +34,9 @@ def test_texts(spark):
     assert values(spark, text.seniority, ["entry level senior mid level engineer"]) == [["entry level", "mid level", "senior"]]
     assert values(spark, text.head_word, ["engineer manager x", "nothing"]) == ["manager", None]
     assert values(spark, text.meaningful, ["head of the data engineer"]) == [["head", "data"]]
+    assert values(spark, text.seniority, ["new entry level grad", "associate mid level level", "new grad new grad ii", "senior", "", "newgrad"]) == [["entry level"], ["mid level", "associate level"], ["new grad", "ii"], ["senior"], [], []]
+    assert values(spark, text.without_phrases, ["new grad new grad ii", "associate mid level level x", "a new graduate b", ""]) == ["ii", "x", "a b", ""]
+    assert len(str(text.seniority(F.col("c")))) < 20 * len(str(F.col("c"))) + 3000  # no expression repeats the ones before it
     assert values(spark, lambda c: text.phrases(text.tokens(c), 2, 3), ["a b c", "a"]) == [["a b c", "a b", "b c"], []]
     assert values(spark, lambda c: text.replace_head(c, "engineer", "developer"), ["engineer engineer x", "y"]) == ["engineer developer x", "y"]
     assert values(spark, lambda c: text.remove_phrase(c, "a b"), ["a b c a b", "a bc"]) == ["c", "a bc"]

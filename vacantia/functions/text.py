@@ -96,10 +96,20 @@ def remove_phrase(normal: Column, phrase: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(normal, rf"(^| ){re.escape(phrase)}(?= |$)", " "), r"\s+", " "))
 
 
+def _spaced(normal: Column) -> Column:
+    """Every word of a normal text between spaces of its own, so that phrases go without a regular expression."""
+    return F.concat(F.lit(" "), F.replace(normal, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def _spaced_phrase(phrase: str) -> str:
+    return f" {phrase.replace(' ', '  ')} "
+
+
 def without_phrases(normal: Column) -> Column:
+    left = _spaced(normal)
     for phrase in SENIORITY_PHRASES:
-        normal = remove_phrase(normal, phrase)
-    return normal
+        left = F.replace(left, F.lit(_spaced_phrase(phrase)), F.lit(""))
+    return F.trim(F.replace(left, F.lit("  "), F.lit(" ")))
 
 
 def strip_seniority(normal: Column) -> Column:
@@ -109,12 +119,13 @@ def strip_seniority(normal: Column) -> Column:
 
 def seniority(normal: Column) -> Column:
     """Phrases, then words of seniority, in order, each once."""
-    found, left = [], normal
-    for phrase in SENIORITY_PHRASES:
-        found.append(F.when(contains_phrase(left, phrase), F.lit(phrase)))
-        left = remove_phrase(left, phrase)
-    single = F.filter(tokens(left), lambda t: t.isin(SENIORITY_WORDS))
-    return F.array_distinct(F.concat(F.array_compact(F.array(*found)), single))
+    # a fold, as each phrase looks at what the ones before it left: an expression for each would repeat theirs
+    phrases = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(_spaced_phrase(p)).alias("spaced")) for p in SENIORITY_PHRASES])
+    start = F.struct(_spaced(normal).alias("left"), words([]).alias("found"))
+    hit = lambda s, p: F.when(F.contains(s["left"], p["spaced"]), F.concat(s["found"], F.array(p["phrase"]))).otherwise(s["found"])
+    step = lambda s, p: F.struct(F.replace(s["left"], p["spaced"], F.lit("")).alias("left"), hit(s, p).alias("found"))
+    single = lambda s: F.filter(tokens(s["left"]), lambda t: t.isin(SENIORITY_WORDS))
+    return F.aggregate(phrases, start, step, lambda s: F.array_distinct(F.concat(s["found"], single(s))))
 
 
 def head_word(normal: Column) -> Column:

@@ -47,7 +47,9 @@ _PHRASES = "|".join(X.SENIORITY_PHRASES)
 """)
 def txt_seniority(t: Catalog) -> DataFrame:
     n = V.titles(t).withColumn("normal", X.normal_title(F.col("title")))
-    return n.select("pos", X.strip_seniority(F.col("normal")).alias("stripped"), F.try_element_at(F.array_sort(F.filter(X.seniority(F.col("normal")), lambda s: s.contains(" "))), F.lit(1)).alias("phrase"), F.try_element_at(X.seniority(F.col("normal")), F.lit(1)).alias("mark")).select("pos", "stripped", F.coalesce("phrase", "mark").alias("first_mark"))
+    marked = n.select("pos", X.strip_seniority(F.col("normal")).alias("stripped"), X.seniority(F.col("normal")).alias("marks"))
+    phrase = F.try_element_at(F.array_sort(F.filter("marks", lambda s: s.contains(" "))), F.lit(1))
+    return marked.select("pos", "stripped", F.coalesce(phrase, F.try_element_at("marks", F.lit(1))).alias("first_mark"))
 
 
 _HEADS = "[" + ", ".join(f"'{w}'" for w in X.HEAD_WORDS) + "]"
