@@ -256,3 +256,13 @@ def test_a_commit_is_seen_whole_or_not_at_all(spark, tmp_path):
     assert got == {"a": 1, "b": 3, "c": 4}
     empty = put(3, [], run="r2")
     assert manifest.read_table(spark, empty, "records").count() == 3 and empty["facts"]["linked"] == 0
+
+
+def test_equal_records_leave_the_field_of_the_first_to_arrive(spark):
+    from pyspark.sql import functions as F
+    from vacantia.operators import records
+
+    rows = spark.createDataFrame([("a", 1, "x", 2), ("a", 1, "y", 1), ("a", 1, "z", 3), ("a", 1, None, 0)], "canonical_key string, pos long, mode string, arrival long")
+    for order in (F.col("arrival"), F.desc("arrival"), F.col("mode")):
+        (row,) = records.coalesced(rows.coalesce(1).sortWithinPartitions(order)).collect()
+        assert row["mode"] == "y" and row["arrival"] == 0

@@ -23,7 +23,8 @@ def record_rank(columns: list[str]) -> Column:
     """Struct that orders records of one key, the best highest, over the columns that there are.
 
     In turn: link and URL score, number of URLs, of provenances, of lookup keys, of runs,
-    later last sight, earlier first sight, smaller id.
+    later last sight, earlier first sight, smaller id; of records that agree in all of it
+    the first to arrive, where ``arrival`` says so.
     """
     has = set(columns)
     at = lambda c: F.col(c) if c in has else F.lit(None).cast("string")
@@ -33,6 +34,7 @@ def record_rank(columns: list[str]) -> Column:
     return F.struct(
         quality(at("link_status"), at("resolved_url"), at("canonical_url"), at("validated_at")).alias("score"), urls.alias("urls"), n("provenance").alias("provenance"),
         n("lookup_keys").alias("keys"), n("run_ids").alias("runs"), millis("last_seen", -(1 << 62)).alias("last"), (-millis("first_seen", -(1 << 62))).alias("first"), (-F.col("pos")).alias("pos"),
+        *([(-F.col("arrival")).alias("arrival")] if "arrival" in has else []),
     )
 
 
@@ -43,11 +45,11 @@ def folded(rows: DataFrame, key: str = "canonical_key", any_active: bool = True)
     only where the record is not active, and is the last sight where none is known.
     """
     ranked = rows.withColumn("__rank", record_rank(rows.columns))
-    special = {key, "pos", "is_active", "closed_at", *ARRAYS, *EARLIEST, *LATEST}
+    special = {key, "pos", "arrival", "is_active", "closed_at", *ARRAYS, *EARLIEST, *LATEST}
     given = [c for c in rows.columns if c in special and c not in (key, "pos")]
     plain = [c for c in rows.columns if c not in special]
     first = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__rank"))).alias(c)
-    how = {c: F.min(c) for c in EARLIEST} | {c: F.max(c) for c in LATEST} | {"closed_at": F.max("closed_at")}
+    how = {c: F.min(c) for c in EARLIEST} | {c: F.max(c) for c in LATEST} | {"closed_at": F.max("closed_at"), "arrival": F.min("arrival")}
     how |= {c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))) for c in ARRAYS}  # distinct sets: what a key has, not its rows
     how["is_active"] = F.bool_or("is_active") if any_active else F.max_by("is_active", "pos")
     merged = ranked.groupBy(key).agg(

@@ -124,7 +124,7 @@ def agg_place_categories(t: Catalog) -> DataFrame:
 # ---- the write path
 
 
-def _lines(t: Catalog) -> DataFrame:
+def _lines(t: Catalog, *more: Column) -> DataFrame:
     """Line items as records of their order, several a key."""
     l, none = F.col("l_linenumber"), F.lit(None).cast("string")  # noqa: E741
     ship = F.col("l_shipdate").cast("timestamp")
@@ -132,7 +132,7 @@ def _lines(t: Catalog) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("canonical_key"), (F.col("l_orderkey") * 10 + l).alias("pos"), V.pick(["valid", "unknown", "stale", "invalid"], F.col("l_suppkey")).alias("link_status"),
         F.when(l % 2 == 0, "r").alias("resolved_url"), none.alias("canonical_url"), none.alias("apply_url"), F.when(l % 3 != 0, "s").alias("source_url"), none.alias("validated_at"),
         F.when(F.col("l_partkey") % 3 != 0, F.col("l_suppkey").cast("string")).alias("mode"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("lookup_keys"),
-        ship.alias("first_seen"), (ship + F.expr("interval 1 day")).alias("last_seen"), ((F.col("l_orderkey") + l) % 3 == 0).alias("is_active"), F.when(l % 4 == 0, ship).alias("closed_at"),
+        ship.alias("first_seen"), (ship + F.expr("interval 1 day")).alias("last_seen"), ((F.col("l_orderkey") + l) % 3 == 0).alias("is_active"), F.when(l % 4 == 0, ship).alias("closed_at"), *more,
     )
 
 
@@ -146,8 +146,12 @@ _FOLD = f"""select canonical_key, arg_max(pos, {_RANK}) as pos, count(*)::bigint
 
 @query(f"with l as ({_SQL_LINES}), f as ({_FOLD}, arg_max(is_active, pos) as is_active, max(closed_at) as closed from l group by canonical_key) select canonical_key, pos, records, mode, first_seen, last_seen, keys, is_active, case when not is_active then coalesce(closed, last_seen) end as closed_at from f")
 def snk_coalesce(t: Catalog) -> DataFrame:
-    """A batch with one record a key: the best record's fields, gaps filled, dates widened, states of the last."""
-    out = records.coalesced(_lines(t))
+    """A batch with one record a key: the best record's fields, gaps filled, dates widened, states of the last.
+
+    Lines that agree in all that ranks them may differ in ``mode``; the first of the table stays, as in a loop over it.
+    """
+    file = F.shiftleft(F.pmod(F.xxhash64("_metadata.file_name"), F.lit(1 << 22)), 40)  # of several files, one after the other by their names' hash
+    out = records.coalesced(_lines(t, (file + F.col("_metadata.row_index")).alias("arrival")))
     return out.select("canonical_key", "pos", "records", "mode", "first_seen", "last_seen", F.col("lookup_keys").alias("keys"), "is_active", "closed_at")
 
 
