@@ -266,3 +266,23 @@ def test_equal_records_leave_the_field_of_the_first_to_arrive(spark):
     for order in (F.col("arrival"), F.desc("arrival"), F.col("mode")):
         (row,) = records.coalesced(rows.coalesce(1).sortWithinPartitions(order)).collect()
         assert row["mode"] == "y" and row["arrival"] == 0
+
+
+def test_records_without_a_key_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+    from vacantia.operators import records
+
+    none = F.lit(None).cast("string")
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("k"), F.floor(F.col("id") / 8).cast("string"))).otherwise(none).alias("canonical_key"), F.col("id").alias("pos"))
+    met, _ = records.marked(rows, "canonical_key")
+    join = met.where("__blank").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met, _ = records.marked(rows, "canonical_key")
+        sizes = [r["count"] for r in met.where("__blank").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == sum(r["count"] for r in join) == 3000 and max(sizes) < 1500
+    assert met.where("__n = 2").count() == 1000 and met.count() == 4000

@@ -66,15 +66,26 @@ def coalesced(batch: DataFrame, key: str = "canonical_key") -> DataFrame:
     return folded(batch, key, any_active=False)
 
 
+def marked(stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``stored`` with ``__blank`` and, for a key that several rows have, their number ``__n``; and those keys with it.
+
+    Rows without a key have nothing to meet: a value of their own deals them over all tasks,
+    where the missing key would bring them into one.
+    """
+    blank = F.coalesce(F.trim(F.col(key)) == "", F.lit(True))
+    counts = stored.where(~blank).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
+    dealt = F.when(F.col("__blank"), F.concat(F.lit("blank:"), F.col("pos").cast("string"))).otherwise(F.col(key))
+    met = stored.withColumn("__blank", blank).withColumn("__at", dealt).join(counts, F.col("__at") == F.col("__key"), "left")
+    return met.withColumn("__n", F.when(~F.col("__blank"), F.col("__n"))).drop("__at"), counts
+
+
 def migrated(stored: DataFrame, repaired: Column, key: str = "canonical_key") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records of a table whose keys may be missing or repeated: survivors, losers and a row of counts.
 
     A key that is blank or that several rows have is replaced by ``repaired``; rows that
     then share one are folded, and all but the best row's number are losers.
     """
-    blank = F.coalesce(F.trim(F.col(key)) == "", F.lit(True))
-    counts = stored.where(~blank).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
-    met = stored.join(counts, F.col(key) == F.col("__key"), "left").withColumn("__blank", blank)
+    met, counts = marked(stored, key)
     keyed = met.withColumn(key, F.when(F.col("__blank") | F.col("__n").isNotNull(), repaired).otherwise(F.col(key)))
     survivors = folded(keyed.select(stored.columns), key)
     losers = keyed.select("pos", key).join(survivors.select(F.col(key).alias("__k"), F.col("pos").alias("kept_pos")), F.col(key) == F.col("__k")).where("pos <> kept_pos").select("pos", "kept_pos")
