@@ -78,6 +78,15 @@ def test_small_files_share_a_slice(spark, folder):
     assert len(slices) == len({s.platform for s in slices}) == 5
 
 
+def test_a_task_is_given_a_small_piece_of_a_large_file(tmp_path):
+    place = pathlib.Path(tmp_path) / "platform=x" / "day=2026-02-01"
+    place.mkdir(parents=True)
+    with (place / "a.txt").open("wb") as f:
+        f.truncate(40 << 20)
+    slices = payloads.PayloadReader(str(tmp_path), payloads.SLICE_BYTES).partitions()
+    assert len(slices) == 3 and all(p.stop - p.start <= 16 << 20 for s in slices for p in s.pieces)
+
+
 def test_damaged_lines_packed_files_and_no_files(spark, tmp_path):
     place = pathlib.Path(tmp_path) / "platform=x" / "day=2026-02-01"
     place.mkdir(parents=True)

@@ -36,7 +36,7 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 FORMAT = "landed_payloads"
 SCHEMA = StructType([StructField(c, DateType() if c == "day" else StringType()) for c in ("platform", "day", "token", "base_url", "payload", "malformed")])
 FIELDS = ("token", "base_url", "payload")
-SLICE_BYTES = 64 << 20  # of files in one slice, unless the option sliceBytes says otherwise
+SLICE_BYTES = 16 << 20  # of files in one slice, unless the option sliceBytes says otherwise; a Python function over its rows is given no more at once
 OPEN_COST = 256 << 10  # what a file counts besides its bytes
 BATCH_BYTES = 4 << 20  # of lines in one batch of rows
 PACKED = (".gz", ".zst", ".bz2")
