@@ -286,3 +286,24 @@ def test_records_without_a_key_are_dealt_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == sum(r["count"] for r in join) == 3000 and max(sizes) < 1500
     assert met.where("__n = 2").count() == 1000 and met.count() == 4000
+
+
+def test_growing_entities_broadcast_nothing(spark, monkeypatch):
+    from vacantia.operators import components, entities
+
+    plans = []
+
+    def recorded(df, *args, of=components.persist, **named):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return of(df, *args, **named)
+
+    monkeypatch.setattr(components, "persist", recorded)
+    monkeypatch.setattr(entities, "persist", recorded)
+    records = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["d"]), (4, ["c", "d"]), (5, None)], "id long, keys array<string>")
+    state = entities.nothing(spark)
+    for ids in ([2, 3], [4], [1, 5]):
+        state = entities.add_batch(state, records.where(F.col("id").isin(ids)))
+    found = entities.entities(state, records)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)

@@ -2,9 +2,10 @@
 
 Every round is two keyed minima and two equi-joins, so a node with very many neighbours
 costs one partial aggregate and a join that adaptive execution can split; no
-neighbourhood is ever collected.  The number of rounds grows with the logarithm of the
-number of nodes; edges that are stars already need none.  A round's edges are deleted as
-soon as the next round's are written.
+neighbourhood is ever collected, and no join broadcasts a side, as over the rounds even
+small sides would add up on the driver.  The number of rounds grows with the logarithm of
+the number of nodes; edges that are stars already need none.  A round's edges are deleted
+as soon as the next round's are written.
 """
 
 from __future__ import annotations
@@ -42,12 +43,12 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(low, "u").where(F.col("v") > F.col("u"))
+            both.join(low.hint("merge"), "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u").where(F.col("v") != F.col("m"))
+            large.join(low.hint("merge"), "u").where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )

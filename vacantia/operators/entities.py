@@ -6,7 +6,8 @@ been merged since.  A batch is joined with the keys that its records carry, so i
 only the entities that it touches; components are found among its records and those, and
 merged entities get one row, or have theirs moved, in ``roots``.  An entity is named by the
 smallest id of its records, whatever batch brought it, so any split of records into batches
-ends with the entities of a single run.
+ends with the entities of a single run.  No join broadcasts a side: with many batches and
+rounds even small sides would add up on the driver.
 
 Defined results: a record without keys is an entity of its own and leaves no state; null
 keys are ignored; a record that comes again changes nothing; a key that no batch has
@@ -29,21 +30,21 @@ def nothing(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def rooted(found: DataFrame, roots: DataFrame) -> DataFrame:
     """``found`` with its ``entity`` replaced by ``root``."""
-    return found.join(roots, "entity", "left").withColumn("root", F.coalesce("root", "entity")).drop("entity")
+    return found.join(roots.hint("merge"), "entity", "left").withColumn("root", F.coalesce("root", "entity")).drop("entity")
 
 
 def add_batch(state: tuple[DataFrame, DataFrame], records: DataFrame, identity: str = "id", keys_column: str = "keys") -> tuple[DataFrame, DataFrame]:
     """The state after the records of a batch."""
     keys, roots = state
     said = persist(records.select(F.col(identity).alias("id"), F.explode(F.array_distinct(F.array_compact(keys_column))).alias("key")))
-    known = persist(rooted(said.join(keys, "key"), roots).select("id", "key", "root"))
+    known = persist(rooted(said.join(keys.hint("merge"), "key"), roots).select("id", "key", "root"))
     firsts = said.groupBy("key").agg(F.min("id").alias("first"))
-    edges = known.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(said.join(firsts, "key").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    edges = known.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(said.join(firsts.hint("merge"), "key").select(F.col("id").alias("a"), F.col("first").alias("b")))
     members = persist(connected_components(edges))
     component = members.select(F.col("node").alias("id"), "component")
-    fresh = firsts.join(keys, "key", "left_anti").select("key", F.col("first").alias("id")).join(component, "id", "left").select("key", F.coalesce("component", "id").alias("entity"))
-    merged = known.select("root").distinct().join(members, F.col("root") == F.col("node")).where("component < root").select("root", "component")
-    moved = roots.join(merged, "root", "left").select("entity", F.coalesce("component", "root").alias("root"))
+    fresh = firsts.join(keys.hint("merge"), "key", "left_anti").select("key", F.col("first").alias("id")).join(component.hint("merge"), "id", "left").select("key", F.coalesce("component", "id").alias("entity"))
+    merged = known.select("root").distinct().join(members.hint("merge"), F.col("root") == F.col("node")).where("component < root").select("root", "component")
+    moved = roots.join(merged.hint("merge"), "root", "left").select("entity", F.coalesce("component", "root").alias("root"))
     after = persist(keys.unionByName(fresh)), persist(moved.unionByName(merged.select(F.col("root").alias("entity"), F.col("component").alias("root"))))
     drop(said, known, members, keys, roots)
     return after
@@ -53,5 +54,5 @@ def entities(state: tuple[DataFrame, DataFrame], records: DataFrame, identity: s
     """``id, entity`` of records that have come: that of any of their keys, all being of one entity."""
     keys, roots = state
     said = records.select(F.col(identity).alias("id"), F.explode_outer(F.array_compact(keys_column)).alias("key"))
-    found = rooted(said.join(keys, "key", "left").withColumn("entity", F.coalesce("entity", "id")), roots)
+    found = rooted(said.join(keys.hint("merge"), "key", "left").withColumn("entity", F.coalesce("entity", "id")), roots)
     return found.groupBy("id").agg(F.min("root").alias("entity"))
