@@ -428,6 +428,16 @@ def test_tiles_connect_what_is_similar():
     assert lines.similar_links([], []) == []
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcd\u00e9 ", "".join(map(chr, range(32, 290))), "".join(map(chr, range(0x400, 0x700))) + "\U0001f600\ud800"])
+def test_shingles_as_numbers_are_the_sets(letters):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(8, 60))) for _ in range(12)]
+    texts += [t + "a" for t in texts[:6]] + texts[:2]
+    numbers, sets = lines.shingle_sets(texts), [lines.shingles(t) for t in texts]
+    assert [len(n) for n in numbers] == [len(s) for s in sets]
+    assert all(len(np.intersect1d(m, n)) == len(s & t) for m, s in zip(numbers, sets) for n, t in zip(numbers, sets))
+
+
 def test_lines_are_deduplicated(spark, make):
     rnd = random.Random(7)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(400)]

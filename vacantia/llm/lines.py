@@ -29,9 +29,11 @@ columns pass through untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,11 +100,17 @@ def _signatures(lines: list[str]) -> np.ndarray:
         inside[starts[1:] - k] = False
     h = _spread(h[inside[: len(h)]])
     at = starts - np.arange(len(lines)) * (SHINGLE - 1)
+    least, hashed = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint32), np.empty_like(h)
+    for k in range(BANDS * ROWS):
+        np.multiply(h, FACTORS[k], out=hashed)
+        np.add(hashed, SHIFTS[k], out=hashed)
+        np.minimum.reduceat(hashed, at, out=least[k])
+    least = _spread(least)
     bands = np.empty((len(lines), BANDS), dtype=np.uint32)
     for b in range(BANDS):
         mixed = np.full(len(lines), b + 1, dtype=np.uint32)
         for k in range(b * ROWS, b * ROWS + ROWS):
-            mixed = mixed * np.uint32(0x01000193) ^ _spread(np.minimum.reduceat(h * FACTORS[k] + SHIFTS[k], at))
+            mixed = mixed * np.uint32(0x01000193) ^ least[k]
         bands[:, b] = _spread(mixed)
     return bands.view(np.int32)
 
@@ -136,21 +144,58 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def bitmap(of: set[str]) -> int:
-    """One of 2,048 bits for every shingle; only ever compared within a process."""
-    bits = bytearray(256)
-    for s in of:
-        h = hash(s) & 2047
-        bits[h >> 3] |= 1 << (h & 7)
-    return int.from_bytes(bits)
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingles of lines of at least SHINGLE characters, as numbers that are equal for equal shingles only.
+
+    Up to 256 different characters, eight of them fill 64 bits; of more, pieces of a shingle
+    are numbered first.  So numbers hold for one call.
+    """
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[points] = True
+    codes, width, step = (np.cumsum(seen) - 1).astype(np.uint64)[points], max(1, int(seen.sum() - 1).bit_length()), 1
+    while step < SHINGLE:  # doubles the width of what a number covers
+        if 2 * width > 64:
+            found, codes = np.unique(codes, return_inverse=True)
+            codes, width = codes.astype(np.uint64), max(1, (len(found) - 1).bit_length())
+        codes = codes[:-step] << np.uint64(width) | codes[step:]
+        step, width = step * 2, width * 2
+    ends = np.cumsum(np.fromiter((len(t) - SHINGLE + 1 for t in lines), dtype=np.int64, count=len(lines)))
+    starts = np.append(0, ends)[:-1]
+    inside = np.ones(len(codes), dtype=bool)
+    for k in range(1, SHINGLE):  # what lies across two lines
+        inside[starts[1:] + np.arange(1, len(lines)) * (SHINGLE - 1) - k] = False
+    codes = codes[inside]
+    for start, end in zip(starts.tolist(), ends.tolist()):
+        codes[start:end].sort()
+    new = np.ones(len(codes), dtype=bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    new[starts] = True
+    return np.split(codes[new], np.cumsum(new)[starts[1:]] - 1) if lines else []
+
+
+def bitmap(of: np.ndarray) -> int:
+    """One of 2,048 bits for every shingle; only ever compared within a call."""
+    bits = np.zeros(2048, dtype=bool)
+    bits[((of * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).view(np.int64)] = True
+    return int.from_bytes(np.packbits(bits).tobytes())
+
+
+def _enough(a: int, b: int, both: int) -> bool:
+    """Exact Jaccard similarity of SIMILARITY or more, of sets of ``a`` and ``b`` that share ``both``."""
+    return both >= SIMILARITY * (a + b - both)
 
 
 def similar(a: set[str], b: set[str]) -> bool:
-    """Exact Jaccard similarity of SIMILARITY or more."""
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+    return _enough(len(a), len(b), len(a & b))
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """``similar`` for sets of one call of ``shingle_sets``."""
+    if not _enough(len(a), len(b), min(len(a), len(b))):
         return False
-    both = len(a & b)
-    return both >= SIMILARITY * (len(a) + len(b) - both)
+    each = np.sort(np.concatenate([a, b]))
+    return _enough(len(a), len(b), int(np.count_nonzero(each[1:] == each[:-1])))
 
 
 def first_met(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
@@ -158,26 +203,25 @@ def first_met(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
     return (a[..., band] == b[..., band]) & ~(a[..., :band] == b[..., :band]).any(-1)
 
 
-def similar_links(keys: list[int], lines: list[str], sides: list[int] | None = None, due: np.ndarray | None = None) -> list[tuple[int, int]]:
+def similar_links(keys: list[int], lines: list[str], sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all lines of one tile that are similar, of at least SHINGLE characters each."""
+    return _links(keys, shingle_sets(lines), sides)
+
+
+def _links(keys: list[int], sets: list[np.ndarray], sides: list[int] | None = None, due: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all lines of one tile that are similar, each verified.
 
     A line meets the members of a component only until one is similar, as the rest could
     not connect more.  With ``sides``, only lines of different sides are compared; with
     ``due``, only pairs that it marks, as others are compared where they meet first.
     """
-    sets: dict[int, tuple[set[str], int]] = {}
+    bits = [bitmap(of) for of in sets]
     out: list[tuple[int, int]] = []
 
-    def of(i: int) -> tuple[set[str], int]:
-        if i not in sets:
-            found = shingles(lines[i])
-            sets[i] = found, bitmap(found)
-        return sets[i]
-
     def alike(i: int, j: int) -> bool:
-        (a, bits), (b, others) = of(i), of(j)
-        most = len(a) - (bits & ~others).bit_count()  # each such bit is a shingle of a alone
-        return most >= SIMILARITY * (len(a) + len(b) - most) and similar(a, b)
+        a, b = sets[i], sets[j]
+        most = len(a) - (bits[i] & ~bits[j]).bit_count()  # each such bit is a shingle of a alone
+        return _enough(len(a), len(b), most) and _similar(a, b)
 
     components: list[list[int]] = []
     for i in range(len(keys)):
@@ -199,7 +243,8 @@ def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     The texts are read again and only the wanted lines leave them, told by a Bloom filter
     of fixed size; its false alarms are lines that nobody asks for.
     """
-    place = F.col("key").bitwiseXOR(F.col("mark")).bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 32))
+    number = F.col("line").cast("long")
+    place = F.col("mark").bitwiseXOR(F.shiftleft(number, 32)).bitwiseXOR(F.shiftleft(number, 13)).bitwiseXOR(number)
     words = bloom.words_for(wanted.count())
     table = bloom.as_array(bloom.build(wanted.select(place.alias("place")), F.col("place"), words), words)
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -212,13 +257,12 @@ def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for batch in slices(whole, "text", 4 << 20):
                 marks, numbers, texts = [], [], []
                 for text, mark in zip(*(c.to_pylist() for c in batch.columns)):
-                    for i, line in eligible(text or ""):
-                        if len(line) >= SHINGLE:
-                            marks.append(mark), numbers.append(i), texts.append(line)
-                keys = line_keys(texts)
-                places = keys ^ np.array(marks, dtype=np.int64) ^ (np.array(numbers, dtype=np.int64) << 32)
-                maybe = np.flatnonzero(bloom.holds(shared.value, places))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[maybe]), pa.array([texts[i] for i in maybe], pa.string())], ["key", "line_text"])
+                    cut = (text or "").split("\n")
+                    marks.append(np.full(len(cut), mark, dtype=np.int64)), numbers.append(np.arange(len(cut))), texts.extend(cut)
+                n = np.concatenate(numbers)
+                maybe = np.flatnonzero(bloom.holds(shared.value, np.concatenate(marks) ^ (n << 32) ^ (n << 13) ^ n))
+                found = [line for i in maybe if len(line := normal(texts[i])) >= SHINGLE]
+                yield pa.RecordBatch.from_arrays([pa.array(line_keys(found)), pa.array(found, pa.string())], ["key", "line_text"])
 
     return near.mapInArrow(run, "key long, line_text string").dropDuplicates(["key"])
 
@@ -274,15 +318,31 @@ def _tiles(table: pa.Table, edges: np.ndarray) -> list[tuple[int, int]]:
     two = starts[sizes == 2]
     agree = bands[two] == bands[two + 1]
     due = agree.any(1) & (agree.argmax(1) == band[two]) & ~(across[two] & (own[two] == own[two + 1]))
-    for a, x, y in zip(two[due].tolist(), texts.take(two[due]).to_pylist(), texts.take(two[due] + 1).to_pylist()):
-        if similar(shingles(x), shingles(y)):
-            out.append((keys[a], keys[a + 1]))
+    asked: list[tuple[np.ndarray, np.ndarray | None]] = [(np.array([a, a + 1]), None) for a in two[due].tolist()]
     for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         mine = bands[a : a + n]
         first = first_met(mine[:, None], mine[None, :], int(band[a]))
         np.fill_diagonal(first, False)
-        if first.any():  # in a tile of two sides, pairs of one side are compared in that side's own tile
-            out += similar_links(keys[a : a + n], texts.slice(a, n).to_pylist(), own[a : a + n].tolist() if across[a] else None, first)
+        met = np.flatnonzero(first.any(1))
+        if len(met):
+            asked.append((a + met, first[np.ix_(met, met)]))
+    lengths = pc.utf8_length(texts).to_numpy()
+    lo = 0
+    while lo < len(asked):  # some tiles at a time, so that what is held does not grow with the batch
+        hi, size = lo, 0
+        while hi < len(asked) and (hi == lo or size < 1_000_000):
+            size += int(lengths[asked[hi][0]].sum())
+            hi += 1
+        some = asked[lo:hi]
+        sets = iter(shingle_sets(texts.take(np.concatenate([rows for rows, _ in some])).to_pylist()))
+        for rows, first in some:
+            of = list(islice(sets, len(rows)))
+            if first is None:
+                if _similar(*of):
+                    out.append((keys[rows[0]], keys[rows[1]]))
+            else:  # in a tile of two sides, pairs of one side are compared in that side's own tile
+                out += _links([keys[r] for r in rows], of, own[rows].tolist() if across[rows[0]] else None, first)
+        lo = hi
     return out
 
 
