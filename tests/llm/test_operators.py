@@ -1,7 +1,9 @@
 """Every operator against brute force, over awkward rows: nulls, empty and long texts, ties, repeats, empty tables."""
 
+import gc
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -318,6 +320,21 @@ def test_words_equal_plain_merging():
         assert codec.encode_word(word) == parts
 
 
+def test_codec_goes_with_its_broadcast(spark, make):
+    """A worker that goes on to tasks of another kind holds no codec any more."""
+
+    def codecs(batches):
+        for _ in batches:
+            pass
+        held = sum(isinstance(x, bpe.Codec) for x in gc.get_objects())
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([os.getpid()], pa.int64())], ["held", "worker"])
+
+    rows = make([(i, f"text {i}") for i in range(64)]).repartition(16)
+    assert bpe.digests(rows, queries.vocabulary_path()).count() == 64
+    found = rows.select("doc_id").mapInArrow(codecs, "held long, worker long").collect()
+    assert len(found) == 16 and not any(r["held"] for r in found)
+
+
 # ---- LM scoring
 
 

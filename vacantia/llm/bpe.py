@@ -190,21 +190,29 @@ class Codec:
         return self.bytes[at].tobytes().decode("utf-8", "replace")
 
 
-_ready: list = [None, None]  # the broadcast value a Python worker holds, and its codec
+class Vocabulary:
+    """What workers are sent: the lists of a vocabulary.
 
+    A worker's copy turns into its codec when first asked.  Spark's workers go on to other
+    tasks and let a broadcast go with the first that has no use for it; the codec and the
+    words that it remembers, of the size of a stage's other memory, go with it.
+    """
+
+    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
+        self.lists, self.made = (tokens, merges, special), None
 
-def _codec(spec) -> Codec:
-    if _ready[0] is not spec.value:
-        _ready[:] = spec.value, Codec(*spec.value)
-    return _ready[1]
+    def codec(self) -> Codec:
+        if self.made is None:
+            self.made, self.lists = Codec(*self.lists), None
+        return self.made
 
 
 def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids array<int>, n_tokens`` of each row; a null text counts as empty."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    spec = docs.sparkSession.sparkContext.broadcast(Vocabulary(*read_vocabulary(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec)
+        codec = spec.value.codec()
         for batch in (part for whole in batches for part in slices(whole, text_column, PIECE)):
             ids = [np.frombuffer(codec.encode(t or ""), dtype="<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -217,10 +225,10 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give an empty text."""
-    spec = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    spec = encoded.sparkSession.sparkContext.broadcast(Vocabulary(*read_vocabulary(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec)
+        codec = spec.value.codec()
         for batch in batches:
             texts = [codec.decode(np.array(i or [], dtype=np.int64)) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -235,10 +243,10 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``exact``: the decoded text is the text. Both directions run in one pass, so the ids
     are not written out only to be read again.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    spec = docs.sparkSession.sparkContext.broadcast(Vocabulary(*read_vocabulary(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec)
+        codec = spec.value.codec()
         for batch in (part for whole in batches for part in slices(whole, "text", PIECE)):
             counts, id_sums, text_sums, same = [], [], [], []
             for text in batch.column(1).to_pylist():
