@@ -79,10 +79,11 @@ class Codec:
     """Encoder and decoder of one vocabulary.
 
     ``remembered``: short words whose ids are kept at most, in two halves; when the newer
-    half is full the older one goes, so words that keep coming stay.
+    half is full the older one goes, so words that keep coming stay.  Pairs of tokens found
+    to fit or not are as many at most.  By default both take some 80 MB, however long a worker lives.
     """
 
-    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], remembered: int = 1_000_000):
+    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], remembered: int = 250_000):
         self.special, self.remembered = special, remembered
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from vacantia.durable import drop, persist
 from vacantia.llm import bloom
-from vacantia.llm.common import slices
+from vacantia.llm.common import by_batch, slices
 from vacantia.operators.components import connected_components
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -137,7 +137,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(marks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys), bands], ["doc_id", "mark", "line", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_hash(docs).alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, line int, key long, bands array<int>")
+    return by_batch(docs.select("doc_id", "text", text_hash(docs).alias("mark")), run, f"doc_id {kind}, mark long, line int, key long, bands array<int>")
 
 
 def shingles(line: str) -> set[str]:
@@ -264,7 +264,7 @@ def with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [line for i in maybe if len(line := normal(texts[i])) >= SHINGLE]
                 yield pa.RecordBatch.from_arrays([pa.array(line_keys(found)), pa.array(found, pa.string())], ["key", "line_text"])
 
-    return near.mapInArrow(run, "key long, line_text string").dropDuplicates(["key"])
+    return by_batch(near, run, "key long, line_text string").dropDuplicates(["key"])
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
             yield _pairs(_tiles(kept, np.empty(0, dtype=np.int64)))
 
     order = ["bucket", "i", "j"]
-    found = persist(rows.repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(run, "a long, b long"))
+    found = persist(by_batch(rows.repartition(*order).sortWithinPartitions(*order, "key"), run, "a long, b long"))
     drop(crowd, asked, texts)
     return found
 

@@ -123,7 +123,7 @@ def links(distinct: DataFrame) -> DataFrame:
         yield _forests(kept[3], np.array([0]), np.array([len(kept[3])]))
 
     key = ["anchor", "i", "j"]
-    return tiled.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return by_batch(tiled.repartition(*key).sortWithinPartitions(*key), run, "a long, b long")
 
 
 def _forests(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
